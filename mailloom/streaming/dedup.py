@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailloom.plans.storage import exists, scratch
+from mailloom.plans.storage import exists, is_file, scratch
 
 STATE = T.StructType([
     T.StructField("key", T.StringType()),
@@ -94,7 +94,12 @@ def delivery_stream(spark: SparkSession, path: str, files_per_batch: int = 8) ->
     from mailloom.operators.addresses import address_set, message_key
 
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if is_file(spark, path):  # a stream reads folders
+        folder, _, name = path.rpartition("/")
+        rows = stream.option("pathGlobFilter", name).parquet(folder)
+    else:
+        rows = stream.parquet(path)
     mid = message_key(F.col("hdr_message_id"))
     key = F.when(mid.isNotNull(), F.concat(F.sha2(mid, 256), F.lit(" "), F.sha2(F.concat_ws("\n", address_set(F.col("hdr_to"))), 256)))
     return rows.select(key.alias("key"), F.col("delivery_id").alias("id"), F.col("received_at").alias("at"))
