@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailloom.llm.language import label_findings, segments
 from mailloom.llm.mixing import mix, shares, source_form
 from mailloom.llm.packing import pack
 from mailloom.llm.similar import similar_groups, similar_rows
@@ -52,5 +53,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(p9_mix(spark, sf_dir), targets, "doc_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_findings(_segments(spark, sf_dir)).withColumnRenamed("key", "doc_id")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).select(F.col("key").alias("doc_id"), "doc_lang", "doc_confidence", "segment", "seg_start", "seg_end", "seg_lang", "seg_confidence")
+
+
+QUERIES = {"p10_found": p10_found, "p10_segments": p10_segments, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLES: dict[str, str] = {}
