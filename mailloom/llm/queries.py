@@ -6,13 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.llm.language import label_findings, segments
+from mailloom.llm.markup import clean_pages
 from mailloom.llm.mixing import mix, shares, source_form
 from mailloom.llm.packing import pack
 from mailloom.llm.similar import similar_groups, similar_rows
 from mailloom.llm.tokens import sized
+from mailloom.operators.instants import sender_domain
 from mailloom.plans.storage import table
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTML payloads with the host that sent them."""
+    hosts = table(spark, sf_dir, "mails").filter(F.col("error").isNull()).select("mail_id", sender_domain(F.col("headers")["From"]).alias("host")).groupBy("mail_id").agg(F.max("host").alias("host"))
+    pages = table(spark, sf_dir, "features").select("mail_id", "html_payloads").filter(F.col("html_payloads") != "")
+    return pages.join(hosts, "mail_id", "left").select(F.col("mail_id").alias("key"), F.when(F.col("host") != "", F.col("host")).alias("host"), F.col("html_payloads").alias("page"))
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_pages(_pages(spark, sf_dir)).select(F.col("key").alias("mail_id"), F.col("clean").alias("text"), "kinds", "marked")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(F.array(F.lit("plain")))
+    return p4_clean(spark, sf_dir).filter("marked").select("mail_id", F.explode(kinds).alias("element")).distinct()
+
+
 def _campaign_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "features").select("mail_id", F.concat_ws(" ", "subject", "text_payloads", "html_skeletons").alias("text"))
 
@@ -65,5 +83,5 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).select(F.col("key").alias("doc_id"), "doc_lang", "doc_confidence", "segment", "seg_start", "seg_end", "seg_lang", "seg_confidence")
 
 
-QUERIES = {"p10_found": p10_found, "p10_segments": p10_segments, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLES: dict[str, str] = {}
