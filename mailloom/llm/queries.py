@@ -9,12 +9,28 @@ from mailloom.llm.language import label_findings, segments
 from mailloom.llm.markup import clean_pages
 from mailloom.llm.mixing import mix, shares, source_form
 from mailloom.llm.packing import pack
+from mailloom.llm.pii import personal_items
 from mailloom.llm.similar import similar_groups, similar_rows
 from mailloom.llm.tokens import sized
 from mailloom.operators.instants import sender_domain
 from mailloom.plans.storage import table
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = table(spark, sf_dir, "mails").filter(F.col("error").isNull()).select(F.col("mail_id").alias("key"), F.lit("To").alias("field_name"), F.col("headers")["To"].alias("text")).filter(F.length("text") > 0)
+    fields = table(spark, sf_dir, "features").select("mail_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("text_payloads", "html_payloads")])).alias("f"))
+    return personal_items(to.unionByName(fields.select(F.col("mail_id").alias("key"), "f.field_name", "f.text").filter(F.length("text") > 0)))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _personal(spark, sf_dir).select("key", "field_name", F.explode("items").alias("i"))
+    return items.select(F.col("key").alias("mail_id"), "field_name", F.col("i.kind").alias("pii_type"), F.col("i.text").alias("pii_text")).distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select(F.col("key").alias("mail_id"), "field_name", "redacted", F.size("items").alias("n_items"))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML payloads with the host that sent them."""
     hosts = table(spark, sf_dir, "mails").filter(F.col("error").isNull()).select("mail_id", sender_domain(F.col("headers")["From"]).alias("host")).groupBy("mail_id").agg(F.max("host").alias("host"))
@@ -83,5 +99,5 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).select(F.col("key").alias("doc_id"), "doc_lang", "doc_confidence", "segment", "seg_start", "seg_end", "seg_lang", "seg_confidence")
 
 
-QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_clean": p4_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLES: dict[str, str] = {}
