@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailloom.llm.garbled import garbled_fields
 from mailloom.llm.language import label_findings, segments
 from mailloom.llm.markup import clean_pages
 from mailloom.llm.mixing import mix, shares, source_form
@@ -31,9 +32,14 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _personal(spark, sf_dir).select(F.col("key").alias("mail_id"), "field_name", "redacted", F.size("items").alias("n_items"))
 
 
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mail_id, host): the domain each mail was sent from."""
+    return table(spark, sf_dir, "mails").filter(F.col("error").isNull()).select("mail_id", sender_domain(F.col("headers")["From"]).alias("host")).groupBy("mail_id").agg(F.max("host").alias("host"))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML payloads with the host that sent them."""
-    hosts = table(spark, sf_dir, "mails").filter(F.col("error").isNull()).select("mail_id", sender_domain(F.col("headers")["From"]).alias("host")).groupBy("mail_id").agg(F.max("host").alias("host"))
+    hosts = _hosts(spark, sf_dir)
     pages = table(spark, sf_dir, "features").select("mail_id", "html_payloads").filter(F.col("html_payloads") != "")
     return pages.join(hosts, "mail_id", "left").select(F.col("mail_id").alias("key"), F.when(F.col("host") != "", F.col("host")).alias("host"), F.col("html_payloads").alias("page"))
 
@@ -59,6 +65,16 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_campaign_texts(spark, sf_dir), "mail_id", "text", 3, 0.6, 20).withColumnRenamed("key", "mail_id")
 
 
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = table(spark, sf_dir, "features").select("mail_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("subject", "text_payloads")])).alias("f"))
+    rows = fields.join(_hosts(spark, sf_dir), "mail_id", "left").select(F.col("mail_id").alias("key"), F.col("host").alias("source"), "f.field_name", "f.text")
+    return garbled_fields(rows).withColumnRenamed("key", "mail_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_repaired(spark, sf_dir).select("mail_id", "field_name").distinct()
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = table(spark, sf_dir, "pack_limits").agg(F.max("capacity_tokens")).first()[0]
     return pack(sized(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens", int(capacity))
@@ -99,5 +115,5 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).select(F.col("key").alias("doc_id"), "doc_lang", "doc_confidence", "segment", "seg_start", "seg_end", "seg_lang", "seg_confidence")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_clean": p4_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_clean": p4_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLES: dict[str, str] = {}
