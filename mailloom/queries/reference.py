@@ -85,8 +85,9 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mail_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eleven features from the raw messages; the skeleton has its own query."""
-    return feat.extracted(_mails(spark, sf_dir)).drop("html_skeletons")
+    """Eleven features from the raw messages, line breaks in one form, as transport doesn't keep it; the skeleton has its own query."""
+    f = feat.extracted(_mails(spark, sf_dir)).drop("html_skeletons")
+    return f.withColumns({c: F.replace(c, F.lit("\r\n"), F.lit("\n")) for c in ("text_payloads", "html_payloads")})
 
 
 def html_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +327,7 @@ SELECT delivery_id, mail_hash, CASE WHEN regexp_full_match(d, '[A-Za-z]{3}, \d{1
   regexp_extract(d, '(\d{4}) \d{2}:', 1) || '-' || lpad(CAST((instr('JanFebMarAprMayJunJulAugSepOctNovDec', regexp_extract(d, '\d ([A-Z][a-z]{2}) ', 1)) + 2) // 3 AS VARCHAR), 2, '0') || '-' || lpad(regexp_extract(d, ', (\d{1,2}) ', 1), 2, '0') || '-' || regexp_extract(d, '(\d{2}:\d{2}:\d{2})', 1) || '_' || mail_hash || '.eml' END AS file_name FROM d""",
     "leaf_clusters": r"""WITH f AS (SELECT DISTINCT regexp_extract(member, '^(.*)/', 1) AS folder, regexp_extract(member, '([^/]*)$', 1) AS name FROM clusters)
 SELECT folder AS cluster_id, name AS member FROM f WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT folder FROM f) o WHERE starts_with(o.folder, f.folder || '/'))""",
-    "mail_features": "SELECT DISTINCT * EXCLUDE (html_skeletons) FROM features",
+    "mail_features": "SELECT DISTINCT * EXCLUDE (html_skeletons) REPLACE (replace(text_payloads, chr(13) || chr(10), chr(10)) AS text_payloads, replace(html_payloads, chr(13) || chr(10), chr(10)) AS html_payloads) FROM features",
     "uri_features": rf"""WITH {_V}, u AS (SELECT mail_id, text, regexp_extract_all(text, '{_URI}', 1) AS s, list_transform(regexp_extract_all(text, '{_URI}', 3), lambda h: coalesce(nullif(h, ''), 'None')) AS h FROM v)
 SELECT mail_id, CAST(len(s) AS VARCHAR) AS uri_amount, coalesce(array_to_string(list_sort(list_distinct(s)), ''), '') AS schemes_string, coalesce(array_to_string(list_sort(list_distinct(h)), ''), '') AS hosts_string,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:https?|ftp)://(?:[^\s/@]*@)?([A-Za-z0-9.-]+)', 1), lambda x: lower(x)))), ' '), '') AS hosts_clean FROM u""",
