@@ -250,3 +250,4 @@ def _texts(parts) -> list[str | None]:
 
 part_texts = arrow(_texts, "array<string>")
 skeletons = arrow(lambda pages: "".join(skeleton_of(p) for p in pages), "string")
+utf8 = arrow(lambda b: bytes(b).decode("utf-8", "replace"), "string")

@@ -17,8 +17,8 @@ def read_eml(spark: SparkSession, path: str, glob: str | None = "*.eml", recursi
     r = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob and not path.rstrip("/").endswith(glob.lstrip("*")):
         r = r.option("pathGlobFilter", glob)
-    # bytes are text as utf-8, those that aren't keep as U+FFFD
-    return r.load(path).select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("mail_id"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    # bytes that are no utf-8 become U+FFFD
+    return r.load(path).select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("mail_id"), mime.utf8("content").alias("raw"))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
