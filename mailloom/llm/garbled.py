@@ -105,7 +105,8 @@ def character_counts(texts: DataFrame, column: str) -> dict[str, int]:
                 if not s.isascii():
                     s = "".join(map(folded, s))
                 c.update(map("".join, zip(s, s[1:])))
-        yield pd.DataFrame({"pair": list(c), "n": list(c.values())})
+        if c:
+            yield pd.DataFrame({"pair": list(c), "n": list(c.values())})
 
     rows = texts.select(column).mapInPandas(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     return {r["pair"]: r["n"] for r in rows}
