@@ -38,8 +38,8 @@ NOTHING = "und mul mis zxx unknown unk none null n/a na xx ? ?? ??? -"
 FORMS = {form: code for code, forms in LABELS.items() for form in forms.split()}
 SILENT = set(NOTHING.split()) | {""}
 
-LINK = re.compile(r"\b(?:https?|ftp|mailto):\S+|\bwww\.\S+|\S+@\S+", re.I)
-CODED = re.compile(r"\S*\d\S*")
+LINK = re.compile(r"\b(?:https?|ftp|mailto):\S+|\bwww\.\S+|(?<!\S)[^\s@]{1,200}@\S+", re.I)
+CODED = re.compile(r"(?<!\S)\S*\d\S*")
 MARKS = re.compile(r"[^\w’' -]+|_+")
 SPACES = re.compile(r"\s+")
 BREAK = re.compile(r"(?<=[.!?…])[”\"'»)]*\s+|\r?\n\s*")
@@ -319,7 +319,7 @@ def segments(documents: DataFrame, key: str, text: str, label: str, net: ByteNet
                 b = big.iloc[i:i + batch]
                 out = []
                 for k, lab, t, found in zip(b.key, b.label, b.text, classify(model, list(b.text))):
-                    lang, conf, segs = resolved(found, bool(LINK.search(t) or CODED.search(t) and re.search(r"\d", t)))
+                    lang, conf, segs = resolved(found, bool(LINK.search(t) or re.search(r"\d", t)))
                     code = label_code(lab)
                     out += [(k, code, lang, conf, n, s, e, sl, sc, w) for n, (s, e, sl, sc, w) in enumerate(segs)]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
