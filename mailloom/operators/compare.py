@@ -11,9 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mailloom.operators.copies import base_name
+from mailloom.plans.rank import numbered, order_slice
 
 
 def members(clusters: DataFrame, *more: str) -> DataFrame:
@@ -48,9 +48,9 @@ def overlap(gold: DataFrame, runs: DataFrame) -> DataFrame:
 
 def mutual_match(pairs: DataFrame) -> DataFrame:
     """Pairs of overlap that are each other's best; the smallest id wins ties."""
-    a = Window.partitionBy("run_id", "gold_id").orderBy(F.desc("jaccard"), "cluster_id")
-    b = Window.partitionBy("run_id", "cluster_id").orderBy(F.desc("jaccard"), "gold_id")
-    return pairs.withColumn("_a", F.row_number().over(a)).withColumn("_b", F.row_number().over(b)).filter("_a = 1 AND _b = 1").drop("_a", "_b")
+    best = lambda of, to: pairs.groupBy("run_id", of).agg(F.min(F.struct((-F.col("jaccard")).alias("j"), to)).alias("m")).select("run_id", of, F.col(f"m.{to}").alias(to))
+    keys = ["run_id", "gold_id", "cluster_id"]
+    return pairs.join(best("gold_id", "cluster_id"), keys, "left_semi").join(best("cluster_id", "gold_id"), keys, "left_semi")
 
 
 def match_status(gold: DataFrame, runs: DataFrame) -> DataFrame:
@@ -123,8 +123,8 @@ def expected_information(a: list[tuple[int, int]], b: list[tuple[int, int]], n:
 
 def pair_metrics(table: DataFrame) -> DataFrame:
     """(run_id, ri, ari, nmi, ami) of contingency tables, rounded to 6 places; 1.0 where a formula has no range."""
-    w = lambda *c: Window.partitionBy(*c)
-    x = table.withColumn("a", F.sum("n").over(w("run_id", "gold_id"))).withColumn("b", F.sum("n").over(w("run_id", "cluster_id")))
+    side_sum = lambda k, name: table.groupBy("run_id", k).agg(F.sum("n").alias(name))
+    x = table.join(side_sum("gold_id", "a"), ["run_id", "gold_id"]).join(side_sum("cluster_id", "b"), ["run_id", "cluster_id"])
     two = lambda c: c * (c - 1) / 2
     n = F.col("n").cast("double")
     totals = table.groupBy("run_id").agg(F.sum("n").alias("total"))
@@ -200,8 +200,9 @@ def f1_baselines(runs: DataFrame) -> DataFrame:
     every row; one for each guesses the row's own number.
     """
     sizes = runs.groupBy("run_id", "cluster_id").agg(F.count("*").alias("s"))
-    by = Window.partitionBy("run_id").orderBy("cluster_id")
-    x = sizes.withColumn("label", F.row_number().over(by) - 1).withColumn("first", F.coalesce(F.sum("s").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("s").over(Window.partitionBy("run_id"))).withColumn("k", F.count("*").over(Window.partitionBy("run_id")))
+    slices = order_slice(F.col("cluster_id"))
+    x = numbered(numbered(sizes, ["run_id"], ["cluster_id"], "label", slice_col=slices), ["run_id"], ["cluster_id"], "first", weight="s", slice_col=slices)
+    x = x.join(sizes.groupBy("run_id").agg(F.sum("s").alias("n"), F.count("*").alias("k")), "run_id")
     # row numbers of cluster `label` run from first to first + s - 1; its own number is hit if it is among them
     hit = (F.col("label") >= F.col("first")) & (F.col("label") < F.col("first") + F.col("s"))
     each = F.when(hit, 2.0 / (F.col("s") + 1)).otherwise(0.0)

@@ -7,12 +7,13 @@ mail_id counts once. Every clusterer returns (mail_id, cluster_id).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.plans.rank import numbered
+from mailloom.plans.rank import numbered, order_slice
 from mailloom.plans.storage import written
 
 
@@ -120,30 +121,32 @@ def chunk_size(k: int, r: float) -> int:
 
 def transactions_observed(df: DataFrame, k: int, r: float = 2.0, order: str = "mail_id") -> DataFrame:
     """(mail_id, cluster_id) as observed: chunks in order, single mails for r of 2 and more."""
-    ranked = numbered(df.select("mail_id", order).distinct().withColumn("_all", F.lit(0)), ["_all"], [order] if order == "mail_id" else [order, "mail_id"], "rank", slice_col=_order_slice(order, df))
+    ranked = numbered(df.select("mail_id", order).distinct().withColumn("_all", F.lit(0)), ["_all"], [order] if order == "mail_id" else [order, "mail_id"], "rank", slice_col=order_slice(F.col(order)) if dict(df.dtypes)[order] == "string" else F.floor(F.col(order) / 65536))
     return ranked.select("mail_id", F.floor(F.col("rank") / chunk_size(k, r)).cast("bigint").alias("cluster_id"))
 
 
-def _order_slice(order: str, df: DataFrame) -> Column:
-    """A slice that grows with the order: of strings the first two characters."""
-    c = F.col(order)
-    return (F.ascii(c) * 256 + F.ascii(F.substring(c, 2, 1))).cast("int") if dict(df.dtypes)[order] == "string" else F.floor(c / 65536).cast("int")
-
-
 def items(df: DataFrame, attributes: list[str]) -> Column:
     """The items (attribute, value) of a mail, as hashes."""
     return F.array(*[F.xxhash64(F.lit(a), F.coalesce(F.col(a), F.lit(""))) for a in attributes])
 
 
-def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, passes: int = 5, blocks: int = 1) -> DataFrame:
+def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, passes: int = 5, block_sets: int = 20_000) -> DataFrame:
     """(mail_id, cluster_id) by profit: sum of S(C) |C| / W(C)^r over clusters, in order of mail_id, with passes until nothing moves.
 
     The algorithm is sequential. Mails with equal items always move together, so only distinct item sets
-    are clustered, with their numbers of mails. ``blocks`` above 1 clusters the sets in independent
-    blocks by the hash of their first item, which is approximate; 1 is exact and runs in one task.
+    are clustered, with their numbers of mails. Up to ``block_sets`` distinct sets are one block and the
+    result is exact; more sets are clustered in blocks of about that many, neighbours by their sorted items,
+    which keeps every task bounded but lets no cluster span blocks.
     """
     rows = distinct_rows(df, attributes).select("mail_id", F.array_sort(items(df, attributes)).alias("items"))
-    sets = rows.groupBy("items").agg(F.min("mail_id").alias("first"), F.count("*").alias("n")).withColumn("block", F.pmod(F.element_at("items", 1), F.lit(blocks)))
+    sets = written(rows.groupBy("items").agg(F.min("mail_id").alias("first"), F.count("*").alias("n")), "sets")
+    blocks = max(1, -(-sets.count() // block_sets))
+    sets = sets.repartitionByRange(blocks, "items") if blocks > 1 else sets.coalesce(1)
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            yield cluster(pd.concat(parts, ignore_index=True))
 
     def cluster(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("first")
@@ -207,7 +210,7 @@ def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, passes: i
             least[k] = min(least.get(k, name), name)
         return pd.DataFrame({"items": b["items"], "cluster_id": [least[where[f]] for f in b["first"]]})
 
-    named = sets.groupBy("block").applyInPandas(cluster, "items array<bigint>, cluster_id string")
+    named = sets.mapInPandas(block, "items array<bigint>, cluster_id string")
     return rows.join(named, "items").select("mail_id", "cluster_id")
 
 
