@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailloom.plans.rank import SLICES, numbered
+from mailloom.plans.rank import numbered, slices_for
 from mailloom.plans.storage import written
 
 PHI = (5 ** 0.5 - 1) / 2
@@ -40,7 +40,8 @@ def mix(items: DataFrame, targets: DataFrame, key: str, block: int = BLOCK, seed
         return spark.createDataFrame([], schema)
     wanted = spark.createDataFrame(goals, "source string, share double, repeats int")
     mine = items.filter(F.col("n_tokens") > 0).join(F.broadcast(wanted), "source").select("source", key, F.col("n_tokens").cast("int").alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(key)).alias("_h"))
-    slice_col = F.pmod(F.shiftrightunsigned("_h", 20), F.lit(SLICES)).cast("int")
+    n_slices = slices_for(spark)
+    slice_col = F.pmod(F.shiftrightunsigned("_h", 20), F.lit(n_slices)).cast("int")
     laid = written(numbered(mine, ["source"], ["_h", key], "start", weight="n_tokens", slice_col=slice_col), "laid")
     totals = {r["source"]: r["t"] for r in laid.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # a row a source
     goals = [g for g in goals if totals.get(g[0], 0) > 0]
@@ -57,7 +58,7 @@ def mix(items: DataFrame, targets: DataFrame, key: str, block: int = BLOCK, seed
     owner = F.lit(cuts[-1][0])
     for s, upto in reversed(cuts[:-1]):
         owner = F.when(point < upto, s).otherwise(owner)
-    slots = numbered(spark.range(n_slots).select(F.col("id").alias("slot"), owner.alias("source")), ["source"], ["slot"], "block_no", slice_col=F.floor(F.col("slot") * F.lit(SLICES) / F.lit(n_slots)).cast("int"))
+    slots = numbered(spark.range(n_slots).select(F.col("id").alias("slot"), owner.alias("source")), ["source"], ["slot"], "block_no", slice_col=F.floor(F.col("slot") * F.lit(n_slices) / F.lit(n_slots)).cast("int"))
     sums = spark.createDataFrame([(s, totals[s], r) for s, _, r in goals], "source string, total bigint, repeats int")
     again = laid.join(F.broadcast(sums), "source").select("source", key, "n_tokens", "start", "total", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("repeat"))
     blocks = again.withColumn("block_no", F.floor((F.col("repeat") * F.col("total") + F.col("start")) / F.lit(block)).cast("bigint"))
