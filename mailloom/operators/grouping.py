@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,66 +150,62 @@ def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, passes: i
             yield cluster(pd.concat(parts, ignore_index=True))
 
     def cluster(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("first")
-        rows = [(f, tuple(i), int(n)) for f, i, n in zip(b["first"], b["items"], b["n"])]
-        sizes: dict[int, list] = {}  # cluster -> [S, W, N, {item: count}]
-        where: dict[str, int] = {}
-        index: dict[int, set[int]] = {}  # item -> clusters that hold it
-        fresh = 0
-
-        def profit(s: float, w: int, n: int) -> float:
-            return s * n / w ** r if w else 0.0
-
-        def gain(c: list | None, its: tuple, n: int) -> float:
-            s, w, m, have = c or (0, 0, 0, {})
-            return profit(s + n * len(its), w + sum(x not in have for x in set(its)), m + n) - profit(s, w, m)
-
-        def put(k: int, its: tuple, n: int) -> None:
-            c = sizes.setdefault(k, [0, 0, 0, {}])
-            c[0] += n * len(its)
-            c[2] += n
+        b = b.sort_values("first", ignore_index=True)
+        rows = [(tuple(dict.fromkeys(i)), len(i), int(n)) for i, n in zip(b["items"], b["n"])]
+        room = 256
+        size, width, count = (np.zeros(room) for _ in range(3))
+        have: dict[int, dict[int, int]] = {}  # item -> cluster -> how often
+        where, used = [-1] * len(rows), 0
+
+        def move(k: int, its: tuple, length: int, n: int) -> None:
+            size[k] += n * length
+            count[k] += n
             for x in its:
-                c[3][x] = c[3].get(x, 0) + n
-                index.setdefault(x, set()).add(k)
-            c[1] = len(c[3])
-
-        def take(k: int, its: tuple, n: int) -> None:
-            c = sizes[k]
-            c[0] -= n * len(its)
-            c[2] -= n
-            for x in its:
-                c[3][x] -= n
-                if not c[3][x]:
-                    del c[3][x]
-                    index[x].discard(k)
-            c[1] = len(c[3])
-            if not c[2]:
-                del sizes[k]
-
-        for p in range(passes):
+                c = have.setdefault(x, {})
+                left = c.get(k, 0) + n
+                if left:
+                    width[k] += k not in c
+                    c[k] = left
+                else:
+                    width[k] -= 1
+                    del c[k]
+
+        for _ in range(passes):
             moved = False
-            for name, its, n in rows:
-                old = where.get(name)
-                if old is not None:
-                    take(old, its, n)
-                near = sorted(set().union(*(index.get(x, set()) for x in its)))
-                best, at = gain(None, its, n), None
-                for k in near:
-                    g = gain(sizes[k], its, n)
-                    if g > best + 1e-12:
-                        best, at = g, k
-                if at is None:
-                    at = old if old is not None and old not in sizes else fresh
-                    fresh += at == fresh
-                put(at, its, n)
-                where[name] = at
+            for i, (its, length, n) in enumerate(rows):
+                old = where[i]
+                if old >= 0:
+                    move(old, its, length, -n)
+                shared = np.zeros(used + 1)
+                for x in its:
+                    c = have.get(x)
+                    if c:
+                        shared[np.fromiter(c, np.int64, len(c))] += 1
+                near = np.flatnonzero(shared[:used])
+                at, best = -1, length * n * n / len(its) ** r
+                if len(near):
+                    s, w, m = size[near], width[near], count[near]
+                    gain = (s + n * length) * (m + n) / (w + len(its) - shared[near]) ** r - s * m / w ** r
+                    k = int(gain.argmax())
+                    if gain[k] > best + 1e-12:
+                        at = int(near[k])
+                if at < 0:  # a cluster of its own: the old place if that is empty now
+                    if old >= 0 and not count[old]:
+                        at = old
+                    else:
+                        at, used = used, used + 1
+                        if used == room:
+                            room *= 2
+                            size, width, count = (np.concatenate([v, np.zeros(room - len(v))]) for v in (size, width, count))
+                move(at, its, length, n)
+                where[i] = at
                 moved |= at != old
             if not moved:
                 break
         least: dict[int, str] = {}
-        for name, k in where.items():
+        for name, k in zip(b["first"], where):
             least[k] = min(least.get(k, name), name)
-        return pd.DataFrame({"items": b["items"], "cluster_id": [least[where[f]] for f in b["first"]]})
+        return pd.DataFrame({"items": b["items"], "cluster_id": [least[k] for k in where]})
 
     named = sets.mapInPandas(block, "items array<bigint>, cluster_id string")
     return rows.join(named, "items").select("mail_id", "cluster_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -31,8 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/mailloom/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; what is written there goes when the application ends."""
+    own = f"{shared_dir(spark)}/mailloom/{spark.sparkContext.applicationId}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -68,7 +72,3 @@ def is_file(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(p) and fs.getFileStatus(p).isFile()
-
-
-def local_path(path: str) -> str:
-    return path[len("file://"):] if path.startswith("file://") else os.fspath(path)

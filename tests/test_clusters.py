@@ -110,6 +110,56 @@ def test_transactions(spark):
     assert grouping.transactions(df.limit(0), ATTRS).count() == 0
 
 
+def naive_transactions(rows, r, passes=5):
+    """The published algorithm, every gain worked out from the members."""
+    sets = {}
+    for i, row in enumerate(rows):
+        sets.setdefault(tuple(enumerate(row)), []).append(i)
+    order = sorted(sets, key=lambda x: sets[x][0])
+    cluster = {}
+
+    def profit(members):
+        size = sum(len(s) * len(sets[s]) for s in members)
+        return size * sum(len(sets[s]) for s in members) / len({x for s in members for x in s}) ** r if members else 0.0
+
+    for _ in range(passes):
+        moved = False
+        for s in order:
+            old = cluster.pop(s, None)
+            groups = defaultdict(list)
+            for k, v in cluster.items():
+                groups[v].append(k)
+            best, at = profit([s]), None
+            for k in sorted(groups):
+                g = profit([*groups[k], s]) - profit(groups[k])
+                if any(set(s) & set(m) for m in groups[k]) and g > best + 1e-9:
+                    best, at = g, k
+            if at is None:
+                at = old if old is not None and old not in groups else max([-1, *cluster.values(), -1 if old is None else old]) + 1
+            cluster[s] = at
+            moved |= at != old
+        if not moved:
+            break
+    out = defaultdict(set)
+    for s, k in cluster.items():
+        out[k] |= {f"m{i:03}" for i in sets[s]}
+    return {frozenset(x) for x in out.values()}
+
+
+def test_transactions_naive(spark):
+    r = random.Random(8)
+    for rep in (1.2, 1.7, 2.5):
+        rows = [(r.choice("xy"), r.choice("pqrs"), r.choice("abcdef")) for _ in range(40)]
+        f = lambda c, rows=rows, rep=rep: grouping.profit(c, table(spark, rows), ATTRS, rep).first().profit
+        got, want = sets(grouping.transactions(table(spark, rows), ATTRS, rep)), naive_transactions(rows, rep)
+        assert got == want or abs(f(grouping.transactions(table(spark, rows), ATTRS, rep)) - _profit(rows, want, rep)) < 1e-9
+
+
+def _profit(rows, clusters, rep):
+    total = sum(len(c) * 3 * len(c) / len({(k, rows[int(m[1:])][k]) for m in c for k in range(3)}) ** rep for c in clusters)
+    return total / len(rows)
+
+
 def test_piecewise():
     r = random.Random(4)
     text = "".join(r.choice("abcdefghij \n") for _ in range(4000))
