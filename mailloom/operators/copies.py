@@ -36,21 +36,19 @@ def copy_differences(left: DataFrame, right: DataFrame, keys: list[str], fields:
     """
     def side(df: DataFrame, tag: str) -> DataFrame:
         packed = F.struct(*[F.col(f) for f in fields])
-        return df.groupBy(*keys).agg(F.min(packed).alias("_row")).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], F.col("_row").alias(f"{tag}_row"), F.lit(True).alias(f"{tag}_here"))
-
-    a, b = side(left, "l"), side(right, "r")
-    cond = None
-    for k in keys:
-        c = F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}"))
-        cond = c if cond is None else cond & c
-    joined = a.join(b, cond, "full_outer")
-    here, there = F.col("l_here").isNotNull(), F.col("r_here").isNotNull()
+        # a null key and any value differ as strings, so sides grouped by these need no second shuffle to be joined
+        plain = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)]
+        rows = df.select(*plain, packed.alias("_row"), F.struct(*[F.col(k) for k in keys]).alias("_key"))
+        return rows.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_row").alias(f"{tag}_row"), F.min("_key").alias(f"{tag}_key"))
+
+    joined = side(left, "l").join(side(right, "r"), [f"_k{i}" for i in range(len(keys))], "full_outer")
+    here, there = F.col("l_key").isNotNull(), F.col("r_key").isNotNull()
     items = []
     for f, tolerance in fields.items():
         x, y = F.col(f"l_row.{f}"), F.col(f"r_row.{f}")
         items.append(F.when(here & there & differs(x, y, tolerance), F.struct(F.lit(f).alias("field"), x.cast("string").alias("left_value"), y.cast("string").alias("right_value"))))
     return joined.select(
-        *[F.when(here, F.col(f"l_{k}")).otherwise(F.col(f"r_{k}")).alias(k) for k in keys],
+        *[F.when(here, F.col(f"l_key.{k}")).otherwise(F.col(f"r_key.{k}")).alias(k) for k in keys],
         F.when(here & there, "both").when(here, "only_left").otherwise("only_right").alias("side"),
         F.filter(F.array(*items), lambda x: x.isNotNull()).alias("diffs"),
     ).filter((F.col("side") != "both") | (F.size("diffs") > 0))
