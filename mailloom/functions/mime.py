@@ -7,7 +7,7 @@ import binascii
 import posixpath
 import quopri
 import re
-from email.header import decode_header, make_header
+from email.header import Header, decode_header, make_header
 from html import escape
 from html.parser import HTMLParser
 
@@ -224,7 +224,29 @@ def headers_map(raw: str) -> dict[str, str | None]:
     return {n: readable(h.get(n.lower())) for n in HEADER_NAMES}
 
 
+def header_block(raw: str) -> dict[str, str]:
+    gap = BLANK.search(raw)
+    return {k: readable(v) for k, v in headers_of(raw[:gap.start()] if gap else raw).items()}
+
+
+def with_headers(raw: str, values) -> str:
+    """The raw message with the given values (header -> text) in place of the headers it has; null and empty ones and headers it lacks stay."""
+    new = {k.lower(): v for k, v in (values.items() if hasattr(values, "items") else values or []) if v}
+    gap = BLANK.search(raw)
+    top, rest = (raw[:gap.start()], raw[gap.start():]) if gap else (raw, "")
+
+    def put(m: re.Match) -> str:
+        v = new.get(m.group(1).lower())
+        if v is None or v == readable(m.group(2)):
+            return m.group(0)
+        return f"{m.group(1)}: {v if v.isascii() else Header(v, 'utf-8', maxlinelen=10 ** 6).encode()}"
+
+    return FIELD.sub(put, top) + rest
+
+
 headers = arrow(headers_map, "map<string,string>")
+all_headers = arrow(header_block, "map<string,string>")
+update_headers = arrow(with_headers, "string")
 
 
 def flaw_of(raw: str) -> str | None:

@@ -86,5 +86,6 @@ def anonymized(mails: DataFrame, domains: list[str], salt: str = SALT) -> DataFr
     d = d.withColumn("pairs", replacements(everything, F.col("headers")["To"], F.col("headers")["From"], domains, salt))
     d = spread(d, "mail_id")
     d = d.withColumn("texts", F.transform("texts", lambda t: replaced(t, F.col("pairs"))))
+    heads = F.transform_values("headers", lambda k, v: replaced(v, F.col("pairs")))
     whole = mime.update_content("raw", "payloads", "texts")
-    return d.select("mail_id", replaced(whole, F.col("pairs")).alias("raw"), F.transform_values("headers", lambda k, v: replaced(v, F.col("pairs"))).alias("headers"), "texts", F.size("pairs").alias("n_keys"), "error")
+    return d.select("mail_id", replaced(mime.update_headers(whole, heads), F.col("pairs")).alias("raw"), heads.alias("headers"), "texts", F.size("pairs").alias("n_keys"), "error")

@@ -40,6 +40,11 @@ def rejects(mails: DataFrame) -> DataFrame:
     return mails.filter(F.col("error").isNotNull()).select("mail_id", "error").distinct()
 
 
+def write_rejects(mails: DataFrame, path: str) -> None:
+    """The error log as a table."""
+    rejects(mails).write.mode("overwrite").parquet(path)
+
+
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """(mailbox, number, raw) of mailboxes; globs and folders are welcome.
 
