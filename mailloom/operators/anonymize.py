@@ -25,9 +25,12 @@ def phone_numbers(text: Column) -> Column:
 
 
 def listed_mailboxes(text: Column, domains: list[str]) -> Column:
-    """Distinct mailboxes at any of the domains, or at subdomains; one pass per domain, as one may end another."""
+    """Distinct mailboxes at any of the domains, or at subdomains; one pass per domain, as one may end another.
+
+    A match begins where a run of its letters does or where the last match ended, so long runs aren't tried from every letter.
+    """
     quoted = [d.replace(".", r"\.").replace("-", r"\-") for d in sorted(domains)]
-    found = [F.regexp_extract_all(text, F.lit(rf"[-a-zA-Z0-9_.]+@[-a-zA-Z0-9_.]*{d}"), F.lit(0)) for d in quoted]
+    found = [F.regexp_extract_all(text, F.lit(rf"(?:\G|(?<![-a-zA-Z0-9_.]))[-a-zA-Z0-9_.]+@[-a-zA-Z0-9_.]*{d}"), F.lit(0)) for d in quoted]
     return F.array_distinct(F.flatten(F.array(*found))) if found else F.array().cast("array<string>")
 
 
