@@ -116,4 +116,11 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_clean": p4_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
-ORACLES: dict[str, str] = {}
+#: The similarity join by counting common shingles of all pairs, which small tables allow.
+ORACLES: dict[str, str] = {
+    "p6_found": r"""WITH w AS (SELECT mail_id, regexp_extract_all(lower(subject || ' ' || text_payloads || ' ' || html_skeletons), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT * FROM features)),
+g AS (SELECT DISTINCT mail_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
+n AS (SELECT mail_id, count(*) AS n FROM g GROUP BY mail_id),
+o AS (SELECT a.mail_id AS a, b.mail_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.mail_id < b.mail_id GROUP BY ALL)
+SELECT a AS mail_id_a, b AS mail_id_b FROM o JOIN n x ON x.mail_id = a JOIN n y ON y.mail_id = b WHERE o >= 0.6 * (x.n + y.n - o)""",
+}
