@@ -382,4 +382,10 @@ SELECT run_id, count(*) AS n_members, any_value(n_clusters) AS n_clusters, round
 s AS (SELECT run_id, label, count(*) AS s, sum(CASE WHEN i = label THEN 1 ELSE 0 END) AS hit FROM r GROUP BY ALL), n AS (SELECT run_id, count(*) AS n, greatest(count(DISTINCT label), 2) AS k FROM r GROUP BY run_id)
 SELECT run_id, round(sum(CASE WHEN label = 1 THEN 2 * s / (s + n) ELSE 0 END) / any_value(k), 6) AS f1_macro_all_in_one, round(sum(CASE WHEN label = 1 THEN s ELSE 0 END) / any_value(n), 6) AS f1_micro_all_in_one,
   round(sum(CASE WHEN hit > 0 THEN 2 / (s + 1) ELSE 0 END) / any_value(n), 6) AS f1_macro_one_for_each, round(sum(hit) / any_value(n), 6) AS f1_micro_one_for_each FROM s JOIN n USING (run_id) GROUP BY run_id""",
+    "recipient_words": r"""WITH m AS (SELECT delivery_id, regexp_extract(hdr_to, '^"?([\p{L}\p{N}_\-]+,?(?:\s[\p{L}\p{N}_\-]+)+)', 1) AS n, regexp_extract(hdr_to, '<?([\p{L}\p{N}_\-]+(?:\.?[\p{L}\p{N}_\-]+)*@[\p{L}\p{N}_\-]+(?:\.[-\p{L}\p{N}_]+)+)>?', 1) AS e FROM messages WHERE hdr_to IS NOT NULL),
+w AS (SELECT delivery_id, list_concat(CASE WHEN n <> '' THEN list_transform(string_split_regex(n, '\s+'), lambda x: rtrim(x, ',')) ELSE [] END, CASE WHEN e <> '' THEN list_concat([split_part(e, '@', 1)], string_split(split_part(e, '@', 1), '.')) ELSE [] END) AS ws FROM m)
+SELECT delivery_id, unnest(list_filter(list_distinct(ws), lambda x: length(x) > 0)) AS word FROM w""",
+    "anonymized_subjects": rf"""WITH {_F}, d AS (SELECT list(DISTINCT domain ORDER BY domain) AS ds FROM block_domains),
+b AS (SELECT mail_id, text_payloads, list_distinct(flatten(list_transform(ds, lambda x: regexp_extract_all(text_payloads, '[-a-zA-Z0-9_.]+@[-a-zA-Z0-9_.]*' || replace(replace(x, '.', '\.'), '-', '\-'))))) AS boxes FROM f CROSS JOIN d)
+SELECT mail_id, list_reduce(list_prepend(text_payloads, boxes), lambda acc, m: replace(acc, m, 'u' || substr(md5('{anonymize.SALT}' || lower(m)), 1, 10) || '@example.org')) AS text FROM b""",
 }
