@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.plans.storage import cores
+from mailloom.plans.storage import partitions_for
 
 # Month names by their beginnings (English, German, French, Spanish, Portuguese, Dutch, Polish).
 MONTHS = {
@@ -174,7 +174,7 @@ def normalised_instants(df: DataFrame, key: str, value: str, home: str, source:
     ignored.
     """
     slim = df.select(F.col(key).cast("bigint").alias("key"), F.col(value).cast("string").alias("value"), F.col(home).cast("string").alias("home"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(order).alias("at")).filter(F.length(F.trim("value")) > 0).distinct()
-    placed = slim.repartitionByRange(cores(df.sparkSession) * 2, "source", "at", "key").sortWithinPartitions("source", "at", "key").drop("at")
+    placed = slim.repartitionByRange(partitions_for(slim), "source", "at", "key").sortWithinPartitions("source", "at", "key").drop("at")
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[str, list] = ("", [])  # source and its open records since the last certain one

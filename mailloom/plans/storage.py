@@ -50,9 +50,21 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
-    """Repartitions small inputs that would leave cores idle before Python or wide expressions."""
-    n = max(least, cores(df.sparkSession) * 2)
+#: Bytes of input files per task before Python or wide expressions; compressed columns grow several times in memory.
+TASK_BYTES = 16 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Tasks for a stage over df: as many as its input files ask for, two a core at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # leaves of unknown size say the greatest there is
+    return max(2 * cores(df.sparkSession), -(-known // TASK_BYTES))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartitions before Python or wide expressions, so that small inputs don't leave cores idle nor large ones fill tasks."""
+    n = partitions_for(df)
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
