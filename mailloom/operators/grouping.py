@@ -131,10 +131,10 @@ def items(df: DataFrame, attributes: list[str]) -> Column:
     return F.array(*[F.xxhash64(F.lit(a), F.coalesce(F.col(a), F.lit(""))) for a in attributes])
 
 
-def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, passes: int = 5, block_sets: int = 20_000) -> DataFrame:
+def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, most: int = 1000, block_sets: int = 20_000) -> DataFrame:
     """(mail_id, cluster_id) by profit: sum of S(C) |C| / W(C)^r over clusters, in order of mail_id, with passes until nothing moves.
 
-    The algorithm is sequential. Mails with equal items always move together, so only distinct item sets
+    Every move raises the profit or settles a tie, so passes come to an end; ``most`` of them without one is an error. The algorithm is sequential. Mails with equal items always move together, so only distinct item sets
     are clustered, with their numbers of mails. Up to ``block_sets`` distinct sets are one block and the
     result is exact; more sets are clustered in blocks of about that many, neighbours by their sorted items,
     which keeps every task bounded but lets no cluster span blocks.
@@ -170,7 +170,7 @@ def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, passes: i
                     width[k] -= 1
                     del c[k]
 
-        for _ in range(passes):
+        for _ in range(most):
             moved = False
             for i, (its, length, n) in enumerate(rows):
                 old = where[i]
@@ -202,6 +202,8 @@ def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, passes: i
                 moved |= at != old
             if not moved:
                 break
+        else:
+            raise RuntimeError(f"transactions did not settle in {most} passes")
         least: dict[int, str] = {}
         for name, k in zip(b["first"], where):
             least[k] = min(least.get(k, name), name)

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from mailloom.operators import compare, grouping, piecewise
@@ -160,6 +161,16 @@ def _profit(rows, clusters, rep):
     return total / len(rows)
 
 
+def test_transactions_settle(spark):
+    r = random.Random(27)
+    rows = [(r.choice("pqrst"), r.choice("uvwxyz"), r.choice("abcdefghij")) for _ in range(120)]
+    want = naive_transactions(rows, 1.5, 10**6)
+    assert want != naive_transactions(rows, 1.5, 5)
+    assert sets(grouping.transactions(table(spark, rows), ATTRS, 1.5)) == want
+    with pytest.raises(Exception, match="did not settle in 5 passes"):
+        grouping.transactions(table(spark, rows), ATTRS, 1.5, most=5).collect()
+
+
 def test_piecewise():
     r = random.Random(4)
     text = "".join(r.choice("abcdefghij \n") for _ in range(4000))
