@@ -131,18 +131,116 @@ def items(df: DataFrame, attributes: list[str]) -> Column:
     return F.array(*[F.xxhash64(F.lit(a), F.coalesce(F.col(a), F.lit(""))) for a in attributes])
 
 
-def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, most: int = 1000, block_sets: int = 20_000) -> DataFrame:
+def settled(sets: list[tuple[tuple, int, int]], r: float, most: int) -> list[int]:
+    """The cluster of each (distinct items, number of items, number of mails), in order, when no set moves any more.
+
+    Gains depend on a cluster's size, width and mails and on the number of shared items only. Clusters alike
+    in the former are one kind: gains are worked out per kind and number of shared items, then looked up.
+    """
+    often: dict[int, int] = {}
+    for its, _, _ in sets:
+        for x in its:
+            often[x] = often.get(x, 0) + 1
+    have: dict[int, dict[int, int]] = {x: {} for x in often}  # item -> cluster -> how often
+    # Items of more than one in 32 sets have a row of marks over all clusters: at most 32 rows an attribute
+    row = {x: j for j, x in enumerate(x for x, n in often.items() if n > len(sets) / 32)}
+    step = max((len(its) for its, _, _ in sets), default=0) + 1
+    room = 256
+    marks = np.zeros((len(row), room), np.uint8)
+    at_kind = np.zeros(room, np.int64)  # a cluster's kind times step
+    state = [(0, 0, 0)] * room  # size, width, mails
+    kinds, number, free = np.zeros((3, 64)), {}, []
+    alive: list[int] = []  # clusters of a kind
+    where, used = [-1] * len(sets), 0
+    overlap = np.arange(1, step)
+
+    def move(k: int, its: tuple, length: int, n: int) -> None:
+        nonlocal kinds
+        size, width, count = old = state[k]
+        for x in its:
+            c = have[x]
+            left = c.get(k, 0) + n
+            if left:
+                if k not in c:
+                    width += 1
+                    if x in row:
+                        marks[row[x], k] = 1
+                c[k] = left
+            else:
+                width -= 1
+                del c[k]
+                if x in row:
+                    marks[row[x], k] = 0
+        state[k] = new = size + n * length, width, count + n
+        if old[2]:
+            j = number[old]
+            alive[j] -= 1
+            if not alive[j]:
+                free.append(j)
+                del number[old]
+        if new[2]:
+            j = number.get(new)
+            if j is None:
+                if free:
+                    j = free.pop()
+                else:
+                    j = len(alive)
+                    alive.append(0)
+                    if j == kinds.shape[1]:
+                        kinds = np.concatenate([kinds, np.zeros_like(kinds)], axis=1)
+                kinds[:, j] = new
+                number[new] = j
+            alive[j] += 1
+            at_kind[k] = j * step
+
+    for _ in range(most):
+        moved = False
+        for i, (its, length, n) in enumerate(sets):
+            old = where[i]
+            if old >= 0:
+                move(old, its, length, -n)
+            at, best = -1, length * n * n / len(its) ** r
+            if used:
+                shared = np.zeros(used, np.uint16)
+                for x in its:
+                    if x in row:
+                        shared += marks[row[x], :used]
+                    elif c := have[x]:
+                        shared[np.fromiter(c, np.int64, len(c))] += 1
+                gain = np.full((len(alive), step), -np.inf)  # without shared items: never
+                s, w, m = kinds[:, : len(alive), None]
+                with np.errstate(all="ignore"):  # no cluster shares more items than there are
+                    gain[:, 1:] = (s + n * length) * (m + n) / (w + len(its) - overlap) ** r - s * m / w ** r
+                got = gain.ravel()[at_kind[:used] + shared]
+                k = int(got.argmax())
+                if got[k] > best + 1e-12:
+                    at = k
+            if at < 0:  # a cluster of its own: the old place if that is empty now
+                if old >= 0 and not state[old][2]:
+                    at = old
+                else:
+                    at, used = used, used + 1
+                    if used == room:
+                        room *= 2
+                        marks, at_kind = (np.concatenate([v, np.zeros_like(v)], axis=-1) for v in (marks, at_kind))
+                        state += [(0, 0, 0)] * (room - len(state))
+            move(at, its, length, n)
+            where[i] = at
+            moved |= at != old
+        if not moved:
+            return where
+    raise RuntimeError(f"transactions did not settle in {most} passes")
+
+
+def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, most: int = 1000) -> DataFrame:
     """(mail_id, cluster_id) by profit: sum of S(C) |C| / W(C)^r over clusters, in order of mail_id, with passes until nothing moves.
 
-    Every move raises the profit or settles a tie, so passes come to an end; ``most`` of them without one is an error. The algorithm is sequential. Mails with equal items always move together, so only distinct item sets
-    are clustered, with their numbers of mails. Up to ``block_sets`` distinct sets are one block and the
-    result is exact; more sets are clustered in blocks of about that many, neighbours by their sorted items,
-    which keeps every task bounded but lets no cluster span blocks.
+    Every move raises the profit or settles a tie, so passes come to an end; ``most`` of them without one is an error.
+    The algorithm is sequential, so one task clusters at every size. Mails with equal items always move
+    together, so only distinct item sets are clustered, with their numbers of mails: the task holds these.
     """
     rows = distinct_rows(df, attributes).select("mail_id", F.array_sort(items(df, attributes)).alias("items"))
     sets = written(rows.groupBy("items").agg(F.min("mail_id").alias("first"), F.count("*").alias("n")), "sets")
-    blocks = max(1, -(-sets.count() // block_sets))
-    sets = sets.repartitionByRange(blocks, "items") if blocks > 1 else sets.coalesce(1)
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -151,65 +249,13 @@ def transactions(df: DataFrame, attributes: list[str], r: float = 2.0, most: int
 
     def cluster(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("first", ignore_index=True)
-        rows = [(tuple(dict.fromkeys(i)), len(i), int(n)) for i, n in zip(b["items"], b["n"])]
-        room = 256
-        size, width, count = (np.zeros(room) for _ in range(3))
-        have: dict[int, dict[int, int]] = {}  # item -> cluster -> how often
-        where, used = [-1] * len(rows), 0
-
-        def move(k: int, its: tuple, length: int, n: int) -> None:
-            size[k] += n * length
-            count[k] += n
-            for x in its:
-                c = have.setdefault(x, {})
-                left = c.get(k, 0) + n
-                if left:
-                    width[k] += k not in c
-                    c[k] = left
-                else:
-                    width[k] -= 1
-                    del c[k]
-
-        for _ in range(most):
-            moved = False
-            for i, (its, length, n) in enumerate(rows):
-                old = where[i]
-                if old >= 0:
-                    move(old, its, length, -n)
-                shared = np.zeros(used + 1)
-                for x in its:
-                    c = have.get(x)
-                    if c:
-                        shared[np.fromiter(c, np.int64, len(c))] += 1
-                near = np.flatnonzero(shared[:used])
-                at, best = -1, length * n * n / len(its) ** r
-                if len(near):
-                    s, w, m = size[near], width[near], count[near]
-                    gain = (s + n * length) * (m + n) / (w + len(its) - shared[near]) ** r - s * m / w ** r
-                    k = int(gain.argmax())
-                    if gain[k] > best + 1e-12:
-                        at = int(near[k])
-                if at < 0:  # a cluster of its own: the old place if that is empty now
-                    if old >= 0 and not count[old]:
-                        at = old
-                    else:
-                        at, used = used, used + 1
-                        if used == room:
-                            room *= 2
-                            size, width, count = (np.concatenate([v, np.zeros(room - len(v))]) for v in (size, width, count))
-                move(at, its, length, n)
-                where[i] = at
-                moved |= at != old
-            if not moved:
-                break
-        else:
-            raise RuntimeError(f"transactions did not settle in {most} passes")
+        where = settled([(tuple(dict.fromkeys(i.tolist())), len(i), int(n)) for i, n in zip(b["items"], b["n"])], r, most)
         least: dict[int, str] = {}
         for name, k in zip(b["first"], where):
             least[k] = min(least.get(k, name), name)
         return pd.DataFrame({"items": b["items"], "cluster_id": [least[k] for k in where]})
 
-    named = sets.mapInPandas(block, "items array<bigint>, cluster_id string")
+    named = sets.coalesce(1).mapInPandas(block, "items array<bigint>, cluster_id string")
     return rows.join(named, "items").select("mail_id", "cluster_id")
 
 

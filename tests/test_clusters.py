@@ -171,6 +171,11 @@ def test_transactions_settle(spark):
         grouping.transactions(table(spark, rows), ATTRS, 1.5, most=5).collect()
 
 
+def test_transactions_are_one_block_at_any_size(spark):
+    df = spark.range(20_001).select(F.format_string("m%05d", "id").alias("mail_id"), F.lit("x").alias("a"), F.lit("y").alias("b"), F.col("id").cast("string").alias("c"))
+    assert len(sets(grouping.transactions(df, ATTRS, 1.0))) == 1
+
+
 def test_piecewise():
     r = random.Random(4)
     text = "".join(r.choice("abcdefghij \n") for _ in range(4000))
