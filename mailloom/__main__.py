@@ -99,7 +99,9 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     spark = spark or SparkSession.builder.appName("mailloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     got = COMMANDS[args[0]](spark, *args[1:])
     if got is not None:
-        got.show(10_000, truncate=False)
+        print(*got.columns, sep="\t")
+        for row in got.toLocalIterator():  # every row, a partition at a time
+            print(*("" if v is None else v for v in row), sep="\t")
     return 0
 
 

@@ -220,7 +220,7 @@ def report(runs: DataFrame) -> DataFrame:
 
 
 def diff_report(gold: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, line): how every cluster fares, the totals, and the Rand index over aligned members, as text."""
+    """(run_id, line): the totals, the Rand index over aligned members, and how every cluster fares, as text."""
     status = match_status(gold, runs)
     pairs = overlap(gold, runs).select("run_id", "gold_id", "cluster_id", "jaccard")
     text = F.when(F.col("status") == "matched", F.format_string("%s matches %s (Jaccard %.3f)", "gold_id", "cluster_id", "jaccard")).when(F.col("status") == "missing", F.format_string("no match for %s", "gold_id")).otherwise(F.format_string("new cluster %s", "cluster_id"))
@@ -228,4 +228,4 @@ def diff_report(gold: DataFrame, runs: DataFrame) -> DataFrame:
     c = diff_counts(gold, runs)
     totals = c.select("run_id", F.format_string("tn=%d, fn=%d, tp=%d, fp=%d, n=%d; %d gold clusters, %d clusters", "tn", "fn", "tp", "fp", "n", "n_gold_clusters", "n_clusters").alias("line"))
     rand = pair_metrics(contingency(gold, runs)).select("run_id", F.format_string("Rand index %.6f", "ri").alias("line"))
-    return lines.unionByName(totals).unionByName(rand)
+    return totals.unionByName(rand).unionByName(lines)

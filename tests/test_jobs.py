@@ -1,7 +1,10 @@
 """The command line on small folders."""
 
-from mailloom.__main__ import main
+from pyspark.sql import functions as F
+
+from mailloom.__main__ import COMMANDS, main
 from mailloom.functions import mime
+from mailloom.operators import compare
 
 MAIL = 'From: a@x.test\nTo: "Zipp, Loth" <l.zipp@uni.example>\nSubject: {}\nMessage-ID: <{}@x>\nDate: Thu, 04 Jan 2024 12:49:13 +0100\nContent-Type: text/plain; charset="utf-8"\n\nDear Loth, call +49 69 90009 422 {}\n'
 
@@ -33,6 +36,16 @@ def test_commands(spark, tmp_path, capsys):
     assert main([], spark) == 2 and main(["cluster", "unknown", "a", "b"], spark) == 2
 
 
+def test_commands_print_every_row(spark, capsys, monkeypatch):
+    gold = spark.range(10_050).select(F.format_string("g%05d", "id").alias("gold_id"), F.format_string("m%05d", "id").alias("member"))
+    other = gold.select(F.lit("other").alias("run_id"), F.translate("gold_id", "g", "c").alias("cluster_id"), "member")
+    monkeypatch.setitem(COMMANDS, "diff", lambda spark: compare.diff_report(gold, other))
+    assert main(["diff"], spark) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "run_id\tline" and "10050 gold clusters" in lines[1] and "Rand index 1.0" in lines[2]
+    assert sorted(x for x in lines[3:]) == [f"other\tg{i:05} matches c{i:05} (Jaccard 1.000)" for i in range(10_050)]
+
+
 def test_headers_are_put_back():
     raw = "To: =?utf-8?B?w5w=?= <a@b.test>\r\nSubject: x\n y\nX-Other: z\n\nTo: body\n"
     new = mime.with_headers(raw, {"To": "Ü <c@d.test>", "Subject": None, "Sender": "new"})
