@@ -130,12 +130,14 @@ def signatures(df: DataFrame, text: Column) -> DataFrame:
 
 
 def runs_of(sig: Column) -> Column:
-    """[(block, run of 7 letters)] of both halves of a signature."""
+    """[(block, run of 7 letters)] of both halves of a signature; without any, the squeezed halves, as equal ones score 100."""
     part = F.split(sig, ":")
     squeezed = lambda s: F.regexp_replace(s, r"(.)\1{3,}", "$1$1$1")
     runs = lambda s, b: F.when(F.length(s) >= WINDOW, F.transform(F.sequence(F.lit(1), F.length(s) - (WINDOW - 1)), lambda i: F.struct(b.alias("block"), F.substr(s, i, F.lit(WINDOW)).alias("run")))).otherwise(F.array().cast("array<struct<block:bigint,run:string>>"))
     block = part[0].cast("bigint")
-    return F.array_distinct(F.concat(runs(squeezed(part[1]), block), runs(squeezed(part[2]), block * 2)))
+    one, two = squeezed(part[1]), squeezed(part[2])
+    short = F.when((F.length(one) < WINDOW) & (F.length(two) < WINDOW), F.array(F.struct(block.alias("block"), F.concat_ws(":", one, two).alias("run")))).otherwise(F.array().cast("array<struct<block:bigint,run:string>>"))
+    return F.array_distinct(F.concat(runs(one, block), runs(two, block * 2), short))
 
 
 def scored_classes(classes: DataFrame) -> DataFrame:

@@ -220,6 +220,14 @@ def test_piecewise_clusters(spark):
     assert piecewise.piecewise_clusters(df.limit(0), F.col("t")).count() == 0
 
 
+def test_short_signatures_meet_when_squeezed(spark):
+    signs = ["3:AAAA:AA", "3:AAAAA:AA", "3:AAAAA:AB", "6:AAAAA:AA", "3::", "3:AAAAAAAA:AAAA", "3:AAAAAA:AAAAA"]
+    classes = spark.createDataFrame(list(enumerate(signs)), "id bigint, signature string")
+    want = {(a, b, s) for a, b in combinations(range(len(signs)), 2) if (s := piecewise.score(signs[a], signs[b]))}
+    assert want == {(0, 1, 100), (5, 6, 100)}
+    assert {tuple(x) for x in piecewise.scored_classes(classes).collect()} == want
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 1), (5, 5)]
