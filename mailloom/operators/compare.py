@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.operators.copies import base_name
-from mailloom.plans.rank import numbered, order_slice
+from mailloom.plans.rank import numbered
+from mailloom.plans.storage import written
 
 
 def members(clusters: DataFrame, *more: str) -> DataFrame:
@@ -200,8 +201,7 @@ def f1_baselines(runs: DataFrame) -> DataFrame:
     every row; one for each guesses the row's own number.
     """
     sizes = runs.groupBy("run_id", "cluster_id").agg(F.count("*").alias("s"))
-    slices = order_slice(F.col("cluster_id"))
-    x = numbered(numbered(sizes, ["run_id"], ["cluster_id"], "label", slice_col=slices), ["run_id"], ["cluster_id"], "first", weight="s", slice_col=slices)
+    x = numbered(numbered(sizes, ["run_id"], ["cluster_id"], "label", ordered=True), ["run_id"], ["cluster_id"], "first", weight="s", ordered=True)
     x = x.join(sizes.groupBy("run_id").agg(F.sum("s").alias("n"), F.count("*").alias("k")), "run_id")
     # row numbers of cluster `label` run from first to first + s - 1; its own number is hit if it is among them
     hit = (F.col("label") >= F.col("first")) & (F.col("label") < F.col("first") + F.col("s"))

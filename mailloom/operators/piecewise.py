@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.plans.rank import numbered, order_slice
+from mailloom.plans.rank import numbered
 from mailloom.plans.storage import spread, written
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -175,7 +175,7 @@ def piecewise_clusters(df: DataFrame, text: Column, threshold: int = 80) -> Data
     A cluster is named by its root's mail. Empty texts have equal signatures and so are one class.
     """
     signed = written(signatures(df, text), "signatures")
-    ordered = written(numbered(signed.withColumn("_all", F.lit(0)), ["_all"], ["mail_id"], "ord", slice_col=order_slice(F.col("mail_id"))).drop("_all"), "ordered")
+    ordered = written(numbered(signed.withColumn("_all", F.lit(0)), ["_all"], ["mail_id"], "ord", ordered=True).drop("_all"), "ordered")
     classes = written(ordered.groupBy("signature").agg(F.min("ord").alias("id"), F.count("*").alias("n")), "classes")
     pairs = scored_classes(classes).filter(F.col("score") > threshold)
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "score"))

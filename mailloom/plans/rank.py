@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mailloom.plans.storage import partitions_for, written
+
 LEAST_SLICES = 256
 
 
@@ -14,24 +16,24 @@ def slices_for(spark: SparkSession) -> int:
     return max(LEAST_SLICES, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def order_slice(c: Column) -> Column:
-    """A slice that grows with the order of strings: their first three characters."""
-    return F.ascii(c).cast("bigint") * (1 << 42) + F.ascii(F.substring(c, 2, 1)).cast("bigint") * (1 << 21) + F.ascii(F.substring(c, 3, 1))
-
-
 def slice_of(*order: str, slices: int) -> Column:
     """A deterministic slice of the rows; recomputed tasks give the same."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(slices)).cast("int")
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], into: str, weight: str | None = None, slice_col: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], into: str, weight: str | None = None, slice_col: Column | None = None, ordered: bool = False) -> DataFrame:
     """Adds ``into``: the 0-based number of the row in its group, or the sum of ``weight`` of the rows before it.
 
     Rows of a group are ordered by (slice, order), so a group is ranked in many independent tasks; the
-    sizes of its slices give each its offset. ``slice_col`` must grow with the order where that is to
-    be kept; by default rows are sliced by hash.
+    sizes of its slices give each its offset. With ``ordered`` the numbers follow ``order`` itself: rows
+    are range-partitioned by (group, order), whatever the values look like, and a partition is a slice;
+    the slices are written first, as borders are sampled and two samples would differ. Otherwise the
+    slice is ``slice_col``, or a hash.
     """
-    df = df.withColumn("_slice", slice_col if slice_col is not None else slice_of(*order, slices=slices_for(df.sparkSession)))
+    if ordered:
+        df = written(df.repartitionByRange(partitions_for(df), *group, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    else:
+        df = df.withColumn("_slice", slice_col if slice_col is not None else slice_of(*order, slices=slices_for(df.sparkSession)))
     amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     sizes = df.groupBy(*group, "_slice").agg(F.sum(amount).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,8 +16,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """messages with exactly one row of each mail."""
-    return table(spark, sf_dir, "messages").dropDuplicates(["delivery_id"]).join(p2_found(spark, sf_dir), "delivery_id", "left_anti").select("delivery_id", "batch_id", "hdr_message_id", "hdr_to")
+    """messages with exactly one row of each mail: the anti-join with the surplus ids, which are few, so the narrow side shuffles or is broadcast by its measured size."""
+    surplus = p2_found(spark, sf_dir)
+    return table(spark, sf_dir, "messages").select("delivery_id", "batch_id", "hdr_message_id", "hdr_to").dropDuplicates(["delivery_id"]).join(surplus, "delivery_id", "left_anti")
 
 
 def p3_differences(spark: SparkSession, sf_dir: str) -> DataFrame:

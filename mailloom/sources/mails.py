@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions import mime
-from mailloom.plans.rank import numbered, order_slice
+from mailloom.plans.rank import numbered
 
 
 def read_eml(spark: SparkSession, path: str, glob: str | None = "*.eml", recursive: bool = False) -> DataFrame:
@@ -29,7 +29,7 @@ def parsed(raw: DataFrame) -> DataFrame:
     error set, no payloads and empty headers. ord is the 0-based rank by mail_id.
     """
     first = raw.groupBy("mail_id").agg(F.max("raw").alias("raw"))
-    ranked = numbered(first.withColumn("_all", F.lit(0)), ["_all"], ["mail_id"], "ord", slice_col=order_slice(F.col("mail_id"))).drop("_all")
+    ranked = numbered(first.withColumn("_all", F.lit(0)), ["_all"], ["mail_id"], "ord", ordered=True).drop("_all")
     ranked = ranked.withColumn("error", F.when(F.col("raw").isNull(), "no text").otherwise(mime.flaw("raw")))
     ok = F.col("error").isNull()
     return ranked.select("mail_id", "ord", "raw", F.when(ok, mime.headers("raw")).otherwise(F.create_map().cast("map<string,string>")).alias("headers"), F.when(ok, mime.payloads("raw")).otherwise(F.array().cast(mime.PAYLOADS)).alias("payloads"), "error")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mailloom.operators.addresses import address_set, message_key
 from mailloom.operators.copies import copy_differences, uuid_form
-from mailloom.operators.instants import BACK, BACK_AFTER, SWITCH, interpretations, normalised_instants, viterbi
+from mailloom.operators.instants import BACK, BACK_AFTER, SWITCH, UNIT, forward, interpretations, joined_parts, decoded, normalised_instants, states_of, viterbi
 from mailloom.streaming.dedup import SeenStore, delivery_stream, surplus_rows
 
 T = "2024-01-%02d 00:00:00"
@@ -70,16 +70,43 @@ def test_store_in_any_order(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == brute_surplus(rows)
 
 
+def test_store_log_and_crash(spark, tmp_path, monkeypatch):
+    """Logs are compacted, buckets that a batch leaves alone aren't read, and a crash between state and commit changes nothing."""
+    store = SeenStore(spark, f"file://{tmp_path}/seen", "2 days", buckets=4)
+    rows = [(f"k{i % 30}", i, T % (1 + i // 20)) for i in range(300)]
+    made = lambda part: spark.createDataFrame(part, "key string, id bigint, at string").withColumn("at", F.col("at").cast("timestamp"))
+    for n in range(6):
+        part = made(rows[n * 50:(n + 1) * 50])
+        if n == 3:
+            with monkeypatch.context() as m:
+                m.setattr(SeenStore, "_put", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+                try:
+                    store.fold(part, n)
+                except OSError:
+                    pass
+        store.fold(part, n)
+    got = [x.id for x in store.surplus().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_surplus(rows)
+    last = store.manifest(5)
+    assert set(last["live"]) == {"0", "1", "2", "3"} and all(len(v) <= 3 for v in last["live"].values())
+    read = []
+    monkeypatch.setattr(SeenStore, "_read", lambda self, lists, f=SeenStore._read: read.extend(p for one in lists for p, _ in one) or f(self, lists))
+    monkeypatch.setattr(SeenStore, "_compact", lambda *a: None)
+    store.fold(made([("k0", 900, T % 20)]), 6)
+    assert len({p.rsplit("=", 1)[1] for p in read}) == 1
+    assert set(x.id for x in store.surplus().collect()) == brute_surplus([*rows, ("k0", 900, T % 20)])
+
+
 def test_delivery_stream(spark, tmp_path):
     schema = "delivery_id bigint, received_at string, hdr_message_id string, hdr_to string, key string"
     rows = [(1, T % 2, "<m@x>", "A <a@x.test>", "k"), (2, T % 1, "m@x", "a@X.test", "k"), (3, T % 1, " <m@x>", "a@x.test", None), (4, T % 1, None, "a@x.test", ""), (5, T % 1, None, "a@x.test", ""), (6, T % 1, "<M@x>", "a@x.test", ""), (3, T % 1, " <m@x>", "a@x.test", None)]
     df = spark.createDataFrame(rows, schema).withColumn("received_at", F.col("received_at").cast("timestamp"))
     df.repartition(3).write.parquet(f"{tmp_path}/messages.parquet")
-    got = surplus_rows(delivery_stream(spark, f"{tmp_path}/messages.parquet", 1), f"file://{tmp_path}/root")
+    got = surplus_rows(delivery_stream(spark, f"{tmp_path}/messages.parquet", 3), f"file://{tmp_path}/root")
     assert sorted(r.id for r in got.collect()) == [1, 3]
     # the stream goes on where it ended
     df.limit(0).union(spark.createDataFrame([(9, T % 9, "m@x", "a@x.test", "")], schema).withColumn("received_at", F.col("received_at").cast("timestamp"))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/messages.parquet")
-    again = surplus_rows(delivery_stream(spark, f"{tmp_path}/messages.parquet", 1), f"file://{tmp_path}/root")
+    again = surplus_rows(delivery_stream(spark, f"{tmp_path}/messages.parquet", 3), f"file://{tmp_path}/root")
     assert sorted(r.id for r in again.collect()) == [1, 3, 9]
 
 
@@ -104,20 +131,69 @@ def test_readings():
     assert first("2024-10-27 02:30:00", "Europe/Berlin") == micros(2024, 10, 27, 0, 30)  # twice: the first
     for v in (None, "", "  ", "unknown", "Tue, 12 Mar", "31 Feb 2025 10:00:00 +0000", "0000-00-00 00:00:00", "2024-01-01 25:00:00", "%DATE%", "x" * 100_000, "(" * 5000, "1" * 400):
         assert first(v) is None, v
-    assert [x[1] for x in interpretations("07.01.2024 11:24", None)] == ["dmy", "mdy"]
+    assert [x[1] for x in interpretations("07.01.2024 11:24", None)] == ["dmy.", "mdy."]
+
+
+def random_order(r, n):
+    rows = [[(r.randint(0, 5) * BACK_AFTER, r.choice("ab"), r.choice([0.0, 1.0, 0.25])) for _ in range(r.choice([1, 2, 3]))] for _ in range(n)]
+    return [states_of(i, x, lambda f: 0.0) for i, x in enumerate(rows)]
 
 
 def test_viterbi_is_optimal():
     r = random.Random(5)
     for _ in range(60):
-        rows = [[(r.randint(0, 5) * BACK_AFTER, r.choice("ab"), r.choice([0.0, 1.0, 0.25])) for _ in range(r.choice([1, 2, 3]))] for _ in range(r.randint(1, 6))]
+        rows = random_order(r, r.randint(1, 6))
 
         def cost(p, rows=rows):
             seq = [row[k] for row, k in zip(rows, p)]
-            return sum(x[2] for x in seq) + sum(SWITCH * (a[1] != b[1]) + BACK * (a[0] - b[0] > BACK_AFTER) for a, b in zip(seq, seq[1:]))
+            return sum(x[2] / UNIT / 1e6 for x in seq) + sum(SWITCH * (a[1] != b[1]) + BACK * (a[0] - b[0] > BACK_AFTER) for a, b in zip(seq, seq[1:]))
 
         best = min(cost(p) for p in product(*[range(len(x)) for x in rows]))
-        assert abs(cost(viterbi(rows)) - best) < 1e-9
+        assert abs(cost(viterbi(rows)) - best) < 1e-4
+
+
+def test_parts_decode_as_the_whole():
+    """An order cut anywhere, also through runs of ambiguous records, gives what one pass gives."""
+    r = random.Random(6)
+    for _ in range(80):
+        rows = random_order(r, r.randint(2, 14))
+        cuts = sorted(r.sample(range(1, len(rows)), r.randint(1, min(4, len(rows) - 1))))
+        pieces = [rows[a:z] for a, z in zip([0, *cuts], [*cuts, len(rows)])]
+        parts = [{"first": p[0], "last": p[-1], "matrix": [forward(p, [0 if i == e else 1 << 200 for i in range(len(p[0]))])[0] for e in range(len(p[0]))]} for p in pieces]
+        got = [k for p, (start, last) in zip(pieces, joined_parts(parts)) for k in decoded(p, start, last)]
+        assert got == viterbi(rows)
+
+
+def dated(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, value string, home string, source string, at bigint")
+
+
+def test_forms_and_order_decide(spark):
+    """The same ambiguous text is read as its source writes dates; without certain records the order of instants decides."""
+    rows = [(i, f"12/{13 + i}/2024 10:00:00", None, "us", i) for i in range(10)] + [(20 + i, f"{13 + i}/12/2024 10:00:00", None, "uk", i) for i in range(10)]
+    rows += [(50, "04/05/2024 10:00:00", None, "us", 20), (51, "04/05/2024 10:00:00", None, "uk", 20)]
+    # between two certain days, in forms of other kinds: only one reading goes forward in time
+    rows += [(60, "2024-02-01T10:00:00Z", None, "x", 1), (61, "03.02.2024 10:00", None, "x", 2), (62, "2024-02-05T10:00:00Z", None, "x", 3)]
+    rows += [(70, "2024-02-27T10:00:00Z", None, "y", 1), (71, "01.03.2024 10:00", None, "y", 2), (72, "2024-03-02T10:00:00Z", None, "y", 3)]
+    rows += [(73, "2024-01-02T10:00:00Z", None, "z", 1), (74, "01.03.2024 10:00", None, "z", 2), (75, "2024-01-04T10:00:00Z", None, "z", 3)]
+    got = {r.id: r.utc_micros for r in normalised_instants(dated(spark, rows), "id", "value", "home", "source", "at").collect()}
+    assert got[50] == micros(2024, 4, 5, 10) and got[51] == micros(2024, 5, 4, 10)
+    assert got[61] == micros(2024, 2, 3, 10) and got[71] == micros(2024, 3, 1, 10)
+    assert got[74] == micros(2024, 1, 3, 10)  # the other reading would make the next record jump back
+
+
+def test_instants_for_any_partitioning(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(400):
+        d, m = r.randint(1, 28), r.randint(1, 12)
+        rows.append((i, r.choice([f"{d:02}.{m:02}.2024 10:00", f"{m:02}/{d:02}/2024 10:00:00", f"{r.randint(1, 12):02}.{m:02}.2024 10:00", f"2024-{m:02}-{d:02}T10:00:00Z", "07 Jan 2024 12:00:00 IST"]), r.choice([None, "Europe/Berlin"]), r.choice(["hot", "hot", "hot", "a", None]), r.randint(0, 90)))
+    rows += [(1000 + i, f"{1 + i % 12:02}.{1 + i % 7:02}.2024 10:00", None, "all ambiguous", i) for i in range(60)]
+    df = dated(spark, rows)
+    one = {tuple(x) for x in normalised_instants(df, "id", "value", "home", "source", "at", 1).collect()}
+    assert any(x[3] > 1 for x in one)
+    for n in (3, 40):
+        assert {tuple(x) for x in normalised_instants(df, "id", "value", "home", "source", "at", n).collect()} == one
 
 
 def test_instants(spark):
