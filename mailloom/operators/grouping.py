@@ -122,7 +122,7 @@ def chunk_size(k: int, r: float) -> int:
 
 def transactions_observed(df: DataFrame, k: int, r: float = 2.0, order: str = "mail_id") -> DataFrame:
     """(mail_id, cluster_id) as observed: chunks in order, single mails for r of 2 and more."""
-    ranked = numbered(df.select("mail_id", order).distinct().withColumn("_all", F.lit(0)), ["_all"], [order] if order == "mail_id" else [order, "mail_id"], "rank", ordered=True)
+    ranked = numbered(df.select(*dict.fromkeys(["mail_id", order])).distinct().withColumn("_all", F.lit(0)), ["_all"], [order] if order == "mail_id" else [order, "mail_id"], "rank", ordered=True)
     return ranked.select("mail_id", F.floor(F.col("rank") / chunk_size(k, r)).cast("bigint").alias("cluster_id"))
 
 
