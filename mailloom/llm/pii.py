@@ -1,8 +1,12 @@
 """Personal information in free text: mailboxes, phones, identity numbers, addresses and person names.
 
-Regular expressions propose spans with a base score; checksums (Luhn, mod 97, mod 11, mod 23, ISO 7064)
-and context words nearby adjust it; what reaches the threshold is an item. Items don't overlap. In
-HTML the visible text is searched, and every span is led back to the mark-up it was read from.
+Regular expressions propose spans with a base score. A form of number that has a checksum (Luhn, mod 97,
+mod 11, mod 23, ISO 7064, or the ranges that were never given out) is confirmed by it: without a caption, a
+number that passes is an item and one that fails is refused; a caption outweighs a failing checksum,
+as a mistyped number is still somebody's. Context words nearby adjust the score; what reaches the threshold is
+an item. Items don't overlap. Numbers of accounts and payment cards that pass mod 97 or Luhn are spans of
+their own kind: no phone or identity number is read out of them. In HTML the visible text is searched, and
+every span is led back to the mark-up it was read from.
 """
 
 from __future__ import annotations
@@ -64,21 +68,110 @@ PHONES = [
 PHONE_WORDS = re.compile(r"\b(?:tel|tél|telefon\w*|telephone|phone|fon|mobil\w*|mobile|cell|handy|gsm|fax|call|ring|ruf\w*|erreich\w*|appel\w*|llam\w*|ligar|ligue|bell?en|dzwoni\w*|звон\w*|номеру|тел|whatsapp|t)\b[^\n]{0,24}$", re.I)
 
 # ---- identity numbers
+def _digits(s: str) -> str:
+    return "".join(c for c in s if c.isdigit())
+
+
+def _bare(s: str) -> str:
+    return re.sub(r"[\s./-]", "", s)
+
+
+def luhn(value: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(_digits(value))):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def mod97(value: str) -> bool:
+    """An account number: country, check digits and 11 to 30 characters."""
+    s = _bare(value)
+    return bool(re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", s)) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def mod23(value: str) -> bool:
+    """Eight digits, or X, Y, Z and seven, and the letter of their remainder."""
+    s = _bare(value)
+    n = s[:-1].translate(str.maketrans("XYZ", "012"))
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(n) % 23] == s[-1]
+
+
+def given_out(value: str) -> bool:
+    """Area, group and serial number of a kind without check digit that avoids some ranges."""
+    area, group, serial = value.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
+def iso7064(value: str) -> bool:
+    """Eleven digits by mod 11, 10; the first is not 0."""
+    d, p = _digits(value), 10
+    for c in d[:10]:
+        x = (int(c) + p) % 10 or 10
+        p = 2 * x % 11
+    return d[0] != "0" and (11 - p) % 10 == int(d[10])
+
+
+def _weighted(d: str) -> bool:
+    return sum(int(c) * w for c, w in zip(d, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1))) % 10 == 0
+
+
+def two_mod11(value: str) -> bool:
+    """Eleven digits of which the last two are remainders by 11."""
+    d = _digits(value)
+    return len(set(d)) > 1 and all(sum(int(c) * w for c, w in zip(d[:k], range(k + 1, 1, -1))) * 10 % 11 % 10 == int(d[k]) for k in (9, 10))
+
+
+def valid_run(value: str) -> bool:
+    """A run of 9 to 13 digits that passes the checksum of a number of its length."""
+    d = _digits(value)
+    if len(d) == 9:
+        return sum(int(c) * w for c, w in zip(d, (9, 8, 7, 6, 5, 4, 3, 2, -1))) % 11 == 0
+    if len(d) == 11:
+        born = 1 <= (int(d[2:4]) % 20) <= 12 and 1 <= int(d[4:6]) <= 31  # the form that begins with a date
+        return born and _weighted(d) or iso7064(d) or two_mod11(d)
+    return len(d) == 13 and luhn(d)
+
+
+def mod97_tail(value: str) -> bool:
+    """Nine digits and their complement to 97, for either century."""
+    d = _digits(value)
+    return any((97 - int(p + d[:9]) % 97) == int(d[9:]) for p in ("", "2"))
+
+
+#: (form, base score, checksum or None). With a checksum: base + 0.3 if it holds, base - 0.1 if not.
 IDS = [
-    (re.compile(r"(?<![\w/.-])\d{3}-\d{2}-\d{4}(?![\w/-]|[.,]\d)"), 0.55),
-    (re.compile(r"(?<![\w/.-])\d{2} \d{3} \d{3} \d{3}(?![\w/-]|[.,]\d)"), 0.55),
-    (re.compile(r"(?<![\w/.-])[A-Z]{2} ?\d{2,3} ?\d{2,3} ?(?:\d{2} ?)?[A-Z](?![\w/-])"), 0.5),
-    (re.compile(r"(?<![\w/.-])\d{8}-?[A-Z](?![\w/-])"), 0.45),
-    (re.compile(r"(?<![\w/.-])[XYZ]-?\d{7}-?[A-Z](?![\w/-])"), 0.45),
-    (re.compile(r"(?<![\w/.-])[A-Z]{1,3} ?\d{6,8}(?![\w/-])"), 0.3),
-    (re.compile(r"(?<![\w/.-])(?=[A-Z0-9]{8,11}(?![\w/-]))(?=[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{8,11}"), 0.2),
-    (re.compile(r"(?<![\w/.-])\d{9,13}(?![\w/-]|[.,]\d)"), 0.2),
-    (re.compile(r"(?<![\w/.-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w/-])"), 0.55),
-    (re.compile(r"(?<![\w/.-])\d{2}[ .]\d{2}[ .]\d{2}[ .-]\d{3}[ .-]\d{2}(?![\w/-])"), 0.45),
-    (re.compile(r"(?<![\w/.-])\d{3}-\d{3}-\d{3} \d{2}(?![\w/-])"), 0.5),
-    (re.compile(r"(?<![\w/.-])\d{4} \d{6}(?![\w/-]|[.,]\d)"), 0.25),
-    (re.compile(r"(?<![\w/.-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w/-])"), 0.2),
+    (re.compile(r"(?<![\w/.-])\d{3}-\d{2}-\d{4}(?![\w/-]|[.,]\d)"), 0.35, given_out),
+    (re.compile(r"(?<![\w/.-])\d{2} \d{3} \d{3} \d{3}(?![\w/-]|[.,]\d)"), 0.25, iso7064),
+    (re.compile(r"(?<![\w/.-])[A-Z]{2} ?\d{2,3} ?\d{2,3} ?(?:\d{2} ?)?[A-Z](?![\w/-])"), 0.5, None),
+    (re.compile(r"(?<![\w/.-])\d{8}-?[A-Z](?![\w/-])"), 0.25, mod23),
+    (re.compile(r"(?<![\w/.-])[XYZ]-?\d{7}-?[A-Z](?![\w/-])"), 0.25, mod23),
+    (re.compile(r"(?<![\w/.-])[A-Z]{1,3} ?\d{6,8}(?![\w/-])"), 0.3, None),
+    (re.compile(r"(?<![\w/.-])(?=[A-Z0-9]{8,11}(?![\w/-]))(?=[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{8,11}"), 0.2, None),
+    (re.compile(r"(?<![\w/.-])(?:\d{9}|\d{11}|\d{13})(?![\w/-]|[.,]\d)"), 0.2, valid_run),
+    (re.compile(r"(?<![\w/.-])(?:\d{10}|\d{12})(?![\w/-]|[.,]\d)"), 0.2, None),
+    (re.compile(r"(?<![\w/.-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w/-])"), 0.25, two_mod11),
+    (re.compile(r"(?<![\w/.-])\d{2}[ .]\d{2}[ .]\d{2}[ .-]\d{3}[ .-]\d{2}(?![\w/-])"), 0.25, mod97_tail),
+    (re.compile(r"(?<![\w/.-])\d{3}-\d{3}-\d{3} \d{2}(?![\w/-])"), 0.5, None),
+    (re.compile(r"(?<![\w/.-])\d{4} \d{6}(?![\w/-]|[.,]\d)"), 0.25, None),
 ]
+CONFIRMED, REFUSED = 0.3, -0.1
+ACCOUNT = re.compile(r"(?<![\w/.-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w/-])")
+CARD = re.compile(r"(?<![\w/.-])[2-6]\d{3}(?:[ -]?\d){9,15}(?![\w/-]|[.,]\d)")
+
+
+def accounts(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, confirmed) of numbers in the form of an account or, if they pass, of a payment card."""
+    for m in ACCOUNT.finditer(text):
+        s = _bare(m.group())
+        if len(s) >= 15:
+            yield *m.span(), mod97(s)
+    for m in CARD.finditer(text):
+        d = _digits(m.group())
+        if 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn(d):
+            yield *m.span(), True
+
+
 ID_WORDS = re.compile(r"ausweis|\bpass\b|passport|passeport|paspoort|pasaporte|passaporte|paszport|паспорт|identi|identid|personalausweis|steuer|\btax\b|impuesto|fiscal|imp[oô]t|belasting|podatk|налог|\bssn\b|social|sozial|sécurité sociale|sécu|bsn|burgerservice|\bdni\b|\bnie\b|\bnif\b|\bcpf\b|pesel|\bnip\b|dowod|dowód|\binn\b|инн|снилс|удостовер|national insurance|\bnino\b|svnr|versicherungsnummer", re.I)
 NOT_IDS = re.compile(r"order|invoice|parcel|rechnung|sendung|paket|bestell|colis|facture|commande|paquete|factura|pedido|encomenda|fatura|pakket|rekening|bestelling|paczk|faktur|zamówien|посылк|счёт|заказ|vorgang|kennung|referen|filed|abgelegt|case|code|vermerk|mark\b", re.I)
 
@@ -95,6 +188,9 @@ LEAD = GREET | TITLE | CLOSE | {"sehr", "guten", "good", "buenos", "buenas", "bo
 WORD = rf"(?:[{UPPER}]\.(?![\w])|[{UPPER}][\w’'-]*[\w])"
 RUN = re.compile(rf"(?<![\w@.+/&#-])(?:(?:{PARTICLES.replace(' ', '|')}){SP})?{WORD}(?:{SP}(?:(?:{PARTICLES.replace(' ', '|')}){SP}){{0,2}}{WORD})*(?![\w@])")
 PIECES = re.compile(r"\S+")
+# Captions of a contact, and verbs whose object is often a person; a given and a family name must follow.
+CAPTION = re.compile(r"(?:^|[\s(])(?:contact(?: person)?|name|attn|attention|signed|author|sender|assigned to|ansprechpartner(?:in)?|kontakt|bearbeiter(?:in)?|z\. ?hd|contacto|nombre|nom|nome|contato|contactpersoon|naam|kontaktowa|imię i nazwisko|имя|контакт)\s?[:.]\s{0,3}$", re.I)
+VERBS = set("call phone contact ask email meet met saw tell told thank asked called appeler contacter demander llamar contactar preguntar ligar contatar perguntar bel bellen vraag vragen".split())
 # Phrases around names without a title.
 BEFORE_NAME = re.compile(r"(?:as agreed with|as discussed with|wie mit|wie von|comme convenu avec|como acordado con|como se acordó con|como combinado com|zoals besproken met|zoals afgesproken met|zgodnie z ustaleniami z|jak ustalono z|как договорились с|по договорённости с|hand the key to|held by|signed by|on behalf of|im auftrag von)\s{1,3}$", re.I)
 CLOSING_LINE = re.compile(r"(?:^|[.!?;]\s)(?:mit freundlichen|viele gr|liebe gr|beste gr|met vriend|best reg|kind reg|z powa|com os mel|un sal|с уваж)\S*(?:\s\S+)?$", re.I)
@@ -107,42 +203,6 @@ LETTERS = re.compile(r"[^\W\d_]+")
 AFTER_NAME = re.compile(r"\s{1,3}(?:asked me to|has asked|hat mich gebeten|bat mich|m[’']a demandé|me pidió|me ha pedido|pediu-me|me pediu|heeft mij gevraagd|vroeg mij|poprosił|попросил|besprochen,|told me|will join us|sends (?:his|her|their) regards)", re.I)
 
 
-def _luhn(d: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(d)):
-        n = int(c) * (1 + i % 2)
-        total += n - 9 * (n > 9)
-    return total % 10 == 0
-
-
-def valid_checksum(value: str) -> bool:
-    """Whether a number passes the checksum of a kind of number that has its form."""
-    s = re.sub(r"[\s./-]", "", value)
-    digits = s.isdigit()
-    if digits and len(s) == 11:
-        if sum(int(c) * w for c, w in zip(s, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1))) % 10 == 0:
-            return True
-        p = 10  # ISO 7064 mod 11, 10
-        for c in s[:10]:
-            x = (int(c) + p) % 10 or 10
-            p = 2 * x % 11
-        if (11 - p) % 10 == int(s[10]):
-            return True
-        for k in (9, 10):  # two mod-11 digits
-            r = sum(int(c) * w for c, w in zip(s[:k], range(k + 1, 1, -1))) * 10 % 11 % 10
-            if r != int(s[k]):
-                break
-        else:
-            return True
-    if digits and len(s) == 9 and sum(int(c) * w for c, w in zip(s, (9, 8, 7, 6, 5, 4, 3, 2, -1))) % 11 == 0:
-        return True
-    if re.fullmatch(r"\d{8}[A-Z]", s):
-        return "TRWAGMYFPDXBNJZSQVHLCKE"[int(s[:8]) % 23] == s[8]
-    if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", s):
-        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
-    return digits and len(s) in (13, 14, 15, 16) and _luhn(s)
-
-
 def initial(word: str) -> bool:
     return len(word) == 2 and word[1] == "."
 
@@ -186,7 +246,7 @@ def _names(text: str) -> Iterator[tuple[int, int, float]]:
             k += 1
         lead, comma = (low[k - 1], False) if k else _lead_before(head)
         opens = not k and (not head.strip(" \t\u00a0>*") or head.rstrip()[-1:] in ".!?:")
-        if not (k or opens or lead in LEAD or lead in LINKS):
+        if not (k or opens or lead in LEAD or lead in LINKS or lead in VERBS):
             continue
         pieces = [(p.start() + start, p.end() + start) for p in PIECES.finditer(run)]
         # contact words and what follows them are no part of a name, which is complete with its second full word
@@ -219,6 +279,8 @@ def _names(text: str) -> Iterator[tuple[int, int, float]]:
             score = 0.6 if bare[:1] in {",", "."} or AFTER_NAME.match(after) else 0.3
         elif opens and AFTER_NAME.match(after):
             score = 0.6
+        elif not k and full > 1 and not comma and (lead in VERBS and head[-1:].isspace() or opens and CAPTION.search(head)):
+            score = 0.55
         elif contact or not bare or bare[0] in "\r\n" or NUMBER_NEXT.match(bare):
             if k and lead in CLOSE or opens and not head.strip(" \t\u00a0>*") and _closing_before(text, line):
                 score = 0.6
@@ -251,19 +313,21 @@ def find_items(text: str) -> list[Item]:
     if re.search(r"\d{2}", text):
         for p in ADDRESSES:
             found += [Item(*m.span(), "address", 0.9) for m in p.finditer(text)]
-        for p, base in IDS:
+        banked = list(accounts(text))
+        found += [Item(a, z, "account", 0.9) for a, z, sure in banked if sure]
+        for p, base, check in IDS:
             for m in p.finditer(text):
                 near = text[max(0, text.rfind("\n", 0, m.start()) + 1, m.start() - 48):m.start()]
                 after = text[m.end():m.end() + 24].split("\n")[0]
                 score = base + (0.4 if ID_WORDS.search(near) else 0.2 if ID_WORDS.search(after) else 0) - (0.5 if _refers(near, ID_WORDS) else 0)
-                if score < THRESHOLD and base >= 0.2 and valid_checksum(m.group()):
-                    score += 0.1
-                if score >= THRESHOLD:
+                if check is not None:
+                    score += CONFIRMED if check(m.group()) else REFUSED if base > 0.2 else 0
+                if score >= THRESHOLD - 1e-9:
                     found.append(Item(*m.span(), "id_number", min(1.0, score + 0.05)))
         for p, base in PHONES:
             for m in p.finditer(text):
                 n = sum(c.isdigit() for c in m.group())
-                if not 7 <= n <= 16:
+                if not 7 <= n <= 16 or any(a <= m.start() and m.end() <= z for a, z, _ in banked):
                     continue
                 near = text[max(0, text.rfind("\n", 0, m.start()) + 1, m.start() - 40):m.start()]
                 score = base + (0.4 if PHONE_WORDS.search(near) else 0) - (0.5 if _refers(near, PHONE_WORDS) else 0) - (0.3 if ID_WORDS.search(near) else 0)
@@ -271,11 +335,19 @@ def find_items(text: str) -> list[Item]:
                     found.append(Item(*m.span(), "phone", min(1.0, score)))
     found += [Item(a, z, "name", s) for a, z, s in _names(text)]
     found.sort(key=lambda x: (-(x.kind == "address"), -(x.kind == "email"), -x.score, -(x.end - x.start), x.start))
+    return _apart(found)
+
+
+def _apart(ranked: list[Item]) -> list[Item]:
+    """Those of the ranked items that overlap none before them, in order of their place."""
+    starts: list[int] = []
     taken: list[Item] = []
-    for x in found:
-        if all(x.end <= y.start or x.start >= y.end for y in taken):
-            taken.append(x)
-    return sorted(taken)
+    for x in ranked:
+        k = bisect_right(starts, x.start)
+        if (not k or taken[k - 1].end <= x.start) and (k == len(taken) or x.end <= taken[k].start):
+            starts.insert(k, x.start)
+            taken.insert(k, x)
+    return taken
 
 
 # ---- HTML
@@ -324,11 +396,8 @@ def find_in_html(page: str) -> list[Item]:
     v = Visible(page)
     found = [Item(*v.span(x.start, x.end), x.kind, x.score) for x in find_items(v.text)]
     if "@" in page:
-        for m in EMAIL.finditer(page.replace("mailto:", "       ") if "mailto:" in page else page):
-            x = Item(*m.span(), "email", 0.95)
-            if all(x.end <= y.start or x.start >= y.end for y in found):
-                found.append(x)
-    return sorted(found)
+        found += [Item(*m.span(), "email", 0.95) for m in EMAIL.finditer(page.replace("mailto:", "       ") if "mailto:" in page else page)]
+    return _apart(found)
 
 
 # ---- To headers
@@ -339,7 +408,7 @@ DISPLAY = re.compile(rf"(?:(?:{PARTICLES.replace(' ', '|')}){SP})*{WORD}(?:,?{SP
 def find_in_to(header: str) -> list[Item]:
     """Mailboxes of a To header and the display names that name persons."""
     found = [Item(*m.span(), "email", 0.95) for m in EMAIL.finditer(header)]
-    found += [x for x in find_items(header) if x.kind == "email" and all(x.end <= y.start or x.start >= y.end for y in found)]
+    found = _apart(found + [x for x in find_items(header) if x.kind == "email"])
     for m in PARTS.finditer(header):
         a, z = m.span(1)
         part = header[a:z]
@@ -360,7 +429,8 @@ def find_in_to(header: str) -> list[Item]:
 
 
 FINDERS = {"To": find_in_to, "text_payloads": find_items, "html_payloads": find_in_html}
-PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
+KINDS = ("email", "phone", "id_number", "address", "name")
+PLACEHOLDERS = {"account": "[ACCOUNT]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
 def redact(text: str, items: list[Item]) -> str:
@@ -371,20 +441,23 @@ def redact(text: str, items: list[Item]) -> str:
     return "".join(out) + text[at:]
 
 
-def personal_items(fields: DataFrame) -> DataFrame:
+def personal_items(fields: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(key, field_name, redacted, items(kind, text, start, stop, score)) for fields (key, field_name, text).
 
+    ``kinds`` are the kinds of item that count; numbers of accounts and cards (``account``) do so only if asked for.
+
     field_name chooses the reading: To, html_payloads, or plain text for any other. Null texts give
     no row, empty ones an empty text without items. Repeated identical rows count once. Whole texts
     are searched. Offsets count characters.
     """
-    rows = spread(fields.select(F.col("key").cast("string").alias("key"), "field_name", "text").filter(F.col("text").isNotNull())).dropDuplicates()
+    rows = fields.select(F.col("key").cast("string").alias("key"), "field_name", "text").filter(F.col("text").isNotNull())
+    rows = spread(rows).dropDuplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for k, f, t in zip(b.key, b.field_name, b.text):
-                items = FINDERS.get(f, find_items)(t)
+                items = [x for x in FINDERS.get(f, find_items)(t) if x.kind in kinds]
                 out.append((k, f, redact(t, items), [{"kind": x.kind, "text": t[x.start:x.end], "start": x.start, "stop": x.end, "score": float(x.score)} for x in items]))
             yield pd.DataFrame(out, columns=["key", "field_name", "redacted", "items"])
 

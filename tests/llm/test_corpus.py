@@ -127,6 +127,19 @@ def test_pack(spark):
     assert packed(spark, [], 100) == []
 
 
+def test_configurations():
+    """The programme reaches its own lower bound but for rounding, beyond what the fullest container first gives."""
+    r = random.Random(11)
+    for _ in range(6):
+        sizes = sorted(r.sample(range(64, 1025), 12), reverse=True)
+        demand = [r.randrange(50, 400) for _ in sizes]
+        amounts, bound = packing.fractional_configurations(sizes, demand, 1024)
+        got = packing.configurations(sizes, demand, 1024)
+        assert [sum(n * t[i] for n, t in got) for i in range(12)] == demand and all(sum(a * b for a, b in zip(t, sizes)) <= 1024 for _, t in got)
+        assert abs(sum(x for x, _ in amounts) - bound) < 1e-3 * bound and sum(n for n, _ in got) <= bound + 12
+    assert packing.configurations([3], [0], 10) == []
+
+
 def test_mix(spark):
     r = random.Random(6)
     rows = [(i, r.choice(["a", "a", "a", "b", "c", None, "x"]), r.randrange(0, 300), 1) for i in range(3000)]
@@ -149,6 +162,18 @@ def test_mix(spark):
     assert mixing.mix(items.limit(0), targets, "doc_id").count() == 0 and mixing.mix(items, targets.limit(0), "doc_id").count() == 0
     one = mixing.mix(items.filter("source = 'a' OR source IS NULL"), targets, "doc_id", block=512)
     assert {x.source for x in one.select("source").distinct().collect()} == {"a"}
+    # long documents across the cut, shares to a document's size, slots without gaps, every repeat shuffled anew
+    long = spark.createDataFrame([(10_000 + i, s, 9000, 1) for i, s in enumerate("aabbcc")], items.schema)
+    rows = mixing.mix(items.unionByName(long), targets, "doc_id", block=512).collect()
+    assert {x.slot for x in rows} == set(range(max(x.slot for x in rows) + 1)) and len({(x.doc_id, x.repeat) for x in rows}) == len(rows)
+    given, all_of_it = Counter(), sum(x.n_tokens for x in rows)
+    for x in rows:
+        given[x.source] += x.n_tokens
+    assert all(abs(given[s] / all_of_it - w) < 0.001 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    order = {k: [x.doc_id for x in sorted(rows, key=lambda x: x.slot) if x.source == "c" and x.repeat == k] for k in (0, 1)}
+    assert order[0][:200] != [x for x in order[1] if x in set(order[0][:200])]
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(items, spark.range(10_001).select(F.col("id").cast("string").alias("source"), F.lit(0.1).alias("target_share"), F.lit(1).alias("max_repeats")), "doc_id")
     forms = spark.createDataFrame([(" Bounce-Pool ",), (None,)], "s string").select(mixing.source_form(F.col("s")).alias("s")).collect()
     assert [x.s for x in forms] == ["bounce_pool", None]
 

@@ -1,6 +1,7 @@
 """Personal information, markup and garbled text."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,10 +31,12 @@ def test_long_texts_end():
 
 
 def test_checksums():
-    assert pii.valid_checksum("44051401359") and not pii.valid_checksum("44051401358")  # 11 digits, weights 1 3 7 9
-    assert pii.valid_checksum("12345678Z") and not pii.valid_checksum("12345678A")
-    assert pii.valid_checksum("GB82 WEST 1234 5698 7654 32") and not pii.valid_checksum("GB83 WEST 1234 5698 7654 32")
-    assert pii.valid_checksum("4111 1111 1111 1111") and not pii.valid_checksum("4111 1111 1111 1112")
+    assert pii.valid_run("44051401359") and not pii.valid_run("44051401358")  # 11 digits, weights 1 3 7 9
+    assert pii.mod23("12345678Z") and not pii.mod23("12345678A") and pii.mod23("X1234567L") and not pii.mod23("X1234567M")
+    assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB83 WEST 1234 5698 7654 32")
+    assert pii.luhn("4111 1111 1111 1111") and not pii.luhn("4111 1111 1111 1112")
+    assert pii.given_out("123-45-6789") and not pii.given_out("666-45-6789") and pii.iso7064("86095742719") and not pii.iso7064("86095742718")
+    assert pii.two_mod11("529.982.247-25") and not pii.two_mod11("529.982.247-26") and pii.mod97_tail("85.07.30-033-28") and not pii.mod97_tail("85.07.30-033-29")
 
 
 def test_html_spans():
@@ -139,3 +142,36 @@ def test_columns_that_clash(spark):
     df = spark.createDataFrame([("a", "To", "x@y.test", 1, 2)], "key string, field_name string, text string, redacted int, kind int")
     assert pii.personal_items(df).columns == ["key", "field_name", "redacted", "items"]
     assert pii.personal_items(df).select(F.size("items")).first()[0] == 1
+
+
+def kinds(text):
+    return [(x.kind, text[x.start:x.end]) for x in pii.find_items(text)]
+
+
+def test_checksums_decide(monkeypatch):
+    """Without a caption a number is an item if its checksum holds; with one it is an item in any case; never after a word for orders."""
+    right, wrong = "12345678Z", "12345678A"
+    assert kinds(f"it says {right} there") == [("id_number", right)] and kinds(f"it says {wrong} there") == []
+    assert kinds(f"my DNI {wrong} there") == [("id_number", wrong)] and kinds(f"order {right} there") == []
+    for ok, bad in (("529.982.247-25", "529.982.247-26"), ("12 345 678 114", "12 345 678 115"), ("X1234567L", "X1234567M"), ("123-45-6789", "666-45-6789"), ("44051401359", "44051401358")):
+        assert kinds(f"see {ok} here") == [("id_number", ok)] and kinds(f"see {bad} here") == [], ok
+    # accounts and cards: confirmed ones are spans of their own, and no phone is read out of either
+    assert kinds("IBAN: DE89 3704 0044 0532 0130 00") == [("account", "DE89 3704 0044 0532 0130 00")] and kinds("IBAN: DE88 3704 0044 0532 0130 00") == []
+    assert kinds("card 4111111111111111 and") == [("account", "4111111111111111")] and kinds("card 4111111111111112 and") == []
+    assert kinds("card 6304 0000 0000 0000 000 and")[0][0] == "account"  # 19 digits
+    texts = [f"it says {right} there", "see 529.982.247-25 here", "IBAN: DE89 3704 0044 0532 0130 00"]
+    with_it = [kinds(t) for t in texts]
+    monkeypatch.setattr(pii, "IDS", [(p, b, c and (lambda v: False)) for p, b, c in pii.IDS])
+    monkeypatch.setattr(pii, "mod97", lambda v: False)
+    assert all(a != b for a, b in zip(with_it, [kinds(t) for t in texts]))  # switched off, every row changes
+
+
+def test_names_in_plain_sentences():
+    assert kinds("Please call John Smith tomorrow") == [("name", "John Smith")] and kinds("I met Angela Merkel.") == [("name", "Angela Merkel")]
+    assert kinds("Contact: Jane Doe, head of sales") == [("name", "Jane Doe")] and kinds("Please contact Customer Service today") == []
+
+
+def test_many_items_are_quick():
+    text = " ".join(f"a{i}@x.test" for i in range(20_000))
+    began = time.time()
+    assert len(pii.find_items(text)) == 20_000 and time.time() - began < 20
