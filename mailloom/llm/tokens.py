@@ -30,7 +30,8 @@ def token_counter(path: str = TOKENIZER):
         e = encoder(path)
         return texts.map(lambda t: len(e.encode_ordinary(t)) if t else 0)
 
-    return count
+    # not pushed around nor worked out twice by the optimizer: texts are tokenized once
+    return count.asNondeterministic()
 
 
 def n_tokens(text: Column, path: str = TOKENIZER) -> Column:
