@@ -17,14 +17,14 @@ from mailloom.operators.instants import sender_domain
 from mailloom.plans.storage import table
 
 
-def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _personal(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
     to = table(spark, sf_dir, "mails").filter(F.col("error").isNull()).select(F.col("mail_id").alias("key"), F.lit("To").alias("field_name"), F.col("headers")["To"].alias("text")).filter(F.length("text") > 0)
     fields = table(spark, sf_dir, "features").select("mail_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("text_payloads", "html_payloads")])).alias("f"))
-    return personal_items(to.unionByName(fields.select(F.col("mail_id").alias("key"), "f.field_name", "f.text").filter(F.length("text") > 0)))
+    return personal_items(to.unionByName(fields.select(F.col("mail_id").alias("key"), "f.field_name", "f.text").filter(F.length("text") > 0)), once=once)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _personal(spark, sf_dir).select("key", "field_name", F.explode("items").alias("i"))
+    items = _personal(spark, sf_dir, once=False).select("key", "field_name", F.explode("items").alias("i"))
     return items.select(F.col("key").alias("mail_id"), "field_name", F.col("i.kind").alias("pii_type"), F.col("i.text").alias("pii_text")).distinct()
 
 
