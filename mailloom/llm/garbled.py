@@ -35,7 +35,6 @@ CHAINS: list[tuple[tuple[str, str], ...]] = [
 LOST = re.compile("[�\x80-\x9f]")
 TOKENS = re.compile(r"[^ \t\r\n]+")
 RUNS = re.compile(r"[^\x00-\x7f]+")
-A_GRAVE = re.compile("(?<![^\\W\\d_])Ã(?= )|Ã(?= )")
 
 
 def _bytes(s: str, charset: str) -> bytes | None:
@@ -113,7 +112,9 @@ def character_counts(texts: DataFrame, column: str) -> dict[str, int]:
 
 
 #: What a repair must gain; and what each run of characters adds that happens to be valid UTF-8, which few bytes are by chance.
-MARGIN, VALID_RUN, ROUNDS = 2.5, 3.0, 5
+MARGIN, VALID_RUN = 2.5, 3.0
+#: Rounds end when the chains' shares of the collection move by less than this altogether.
+SETTLED, ROUNDS = 1e-3, 50
 
 
 class Evidence:
@@ -149,14 +150,11 @@ class Evidence:
             w = m.group()
             if w.isascii():
                 continue
+            if w[-1] == "\u00c3" and m.end() < len(text):
+                w += "\u00a0"  # the model weighs it with the space as it was
             for i, g in self.gains(w):
                 total[i] += g
                 some = True
-        n = len(A_GRAVE.findall(text)) if "Ã " in text else 0
-        if n:  # a no-break space that belonged to the word became a space
-            total[0] += 3.0 * n
-            total[1] += 3.0 * n
-            some = True
         return total if some else None
 
 
@@ -166,6 +164,8 @@ def repaired(text: str, weights: dict[int, float], evidence: Evidence) -> str:
         w = m.group()
         if w.isascii():
             return w
+        if w[-1] == "\u00c3" and m.end() < len(m.string):
+            w += "\u00a0"
         best = max(((g + math.log(max(weights.get(i, 0.0), 1e-9)), i) for i, g in evidence.gains(w) if weights.get(i, 0.0) > 1e-4), default=None)
         return undone(w, CHAINS[best[1]]) or w if best else w
 
@@ -177,7 +177,8 @@ def garbled_fields(fields: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     chain is the likeliest one, null if only lost characters prove the damage; lost is how many there are.
     Null and empty texts are never affected. A null source is a source of its own. Repeated identical
-    rows count once. Whole texts are read.
+    rows count once. Whole texts are read. Rounds of expectation and maximization go on until the chains' shares
+    settle; more than ``rounds`` of them are an error.
     """
     spark = fields.sparkSession
     rows = written(spread(fields.select(F.col("key").cast("string").alias("key"), F.coalesce("source", F.lit("")).alias("source"), "field_name", "text").filter(F.length("text") > 0)).dropDuplicates(), "texts")
@@ -196,21 +197,27 @@ def garbled_fields(fields: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "source", "field_name", "text", "scores", "lost"])
 
     marked = written(rows.mapInPandas(score, "key string, source string, field_name string, text string, scores array<double>, lost int"), "evidence")
-    sizes = rows.groupBy("source", "field_name").agg(F.count("*").alias("size"))
-    n_all = max(1, rows.count())
+    sizes = written(rows.groupBy("source", "field_name").agg(F.count("*").alias("size")), "sizes")
+    n_all = max(1, sizes.agg(F.sum("size")).first()[0] or 0)
     k = len(CHAINS)
     prior = F.array(*[F.lit(0.002)] * k)  # of each chain; the rest is clean
     shared = [0.002] * k
     local = None
+    # records of one source and field with the same scores are one, counted
+    patterns = written(marked.groupBy("source", "field_name", "scores").agg(F.count("*").alias("n")), "patterns")
     for _ in range(rounds):
-        with_prior = marked.withColumn("prior", prior) if local is None else marked.join(local, ["source", "field_name"], "left").withColumn("prior", F.coalesce("prior", F.array(*[F.lit(x) for x in shared])))
+        with_prior = patterns.withColumn("prior", prior) if local is None else patterns.join(local, ["source", "field_name"], "left").withColumn("prior", F.coalesce("prior", F.array(*[F.lit(x) for x in shared])))
         posterior = _posterior(with_prior)
-        sums = written(posterior.select("source", "field_name", F.posexplode("posterior").alias("c", "p")).groupBy("source", "field_name", "c").agg(F.sum("p").alias("p")), "em")
+        sums = written(posterior.select("source", "field_name", "n", F.posexplode("posterior").alias("c", "p")).filter("p > 1e-12").groupBy("source", "field_name", "c").agg(F.sum(F.col("p") * F.col("n")).alias("p")), "em")
         totals = {r["c"]: r["p"] for r in sums.groupBy("c").agg(F.sum("p").alias("p")).collect()}  # a row a chain
-        shared = [max(1e-6, totals.get(c, 0.0) / n_all) for c in range(k)]
+        before, shared = shared, [max(1e-6, totals.get(c, 0.0) / n_all) for c in range(k)]
         pull = 20.0  # records of the whole collection that a source's own are added to
         lists = sums.groupBy("source", "field_name").agg(F.map_from_entries(F.collect_list(F.struct("c", "p"))).alias("m")).join(sizes, ["source", "field_name"])
-        local = written(lists.select("source", "field_name", F.array(*[(F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0)) + F.lit(pull * shared[c])) / (F.col("size") + F.lit(pull)) for c in range(k)]).alias("prior")), "priors")
+        local = lists.select("source", "field_name", F.array(*[(F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0)) + F.lit(pull * shared[c])) / (F.col("size") + F.lit(pull)) for c in range(k)]).alias("prior"))  # read from this round's written sums
+        if sum(abs(x - y) for x, y in zip(before, shared)) <= SETTLED:  # and no source moves far without them
+            break
+    else:
+        raise RuntimeError(f"shares of chains did not settle in {rounds} rounds")
     last = _posterior(marked.join(local, ["source", "field_name"], "left").withColumn("prior", F.coalesce("prior", F.array(*[F.lit(x) for x in shared]))))
     found = last.filter((F.col("clean") < 0.5) | (F.col("lost") > 0)).select("key", "field_name", "text", "posterior", "clean", "lost")
 

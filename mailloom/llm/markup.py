@@ -1,8 +1,9 @@
 """Clean text from HTML, Markdown, wiki and LaTeX notation, with headings, lists, code and formulas kept.
 
-Site templates go first: every element subtree of a page is hashed (tag names and text, attributes
-don't count), hashes are counted per host in Spark, and subtrees that recur on many pages of a host
-are deleted. Then code blocks and formulas of any notation are set aside, so that nothing inside them
+Site templates go first: the subtree of every block element of a page is hashed (tag names and text,
+attributes don't count; an element's hash is made of its children's), hashes are counted per host in Spark,
+and subtrees that recur on many pages of a host are deleted. Formulas and preformatted text are hashed whole, as parts of
+them mean nothing by themselves. Then code blocks and formulas of any notation are set aside, so that nothing inside them
 counts, and the rest is brought to one form: ``# heading``, ``- item``, fenced code, ``$formula$``.
 """
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.plans.storage import spread
+from mailloom.plans.storage import written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 # Fixed values of HTML: elements without content, and block elements.
@@ -28,34 +29,45 @@ SCOPES = {"ul", "ol", "dl", "table", "body", "html", "div", "td", "th"}
 FRAME = {"html", "body", "head", "title"}
 
 
+#: Elements that can be a template; others fall with the one that holds them.
+WHOLE = {"math", "pre"}
+
+
 def subtrees(page: str) -> list[tuple[int, int, int]]:
-    """(hash, start, end) of the element subtrees that hold text; frame elements are left out."""
+    """(hash, start, end) of the block elements that hold text; frame elements are left out."""
     out: list[tuple[int, int, int]] = []
-    stack: list[tuple[str, int, int, int]] = []  # tag, start, place in parts, text so far
-    parts: list[str] = []
-    size = at = 0
+    stack: list[list] = []  # [tag, start, hash of its content so far, whether it holds text]
+    at = 0
 
     def close(k: int, end: int) -> None:
         while len(stack) > k:
-            tag, start, place, before = stack.pop()
-            if tag not in FRAME and size > before:
-                out.append((xxhash.xxh64_intdigest(tag + "\x00" + "\x01".join(parts[place:])) - (1 << 63), start, end))
+            tag, start, content, text = stack.pop()
+            content.update(tag)
+            sign = content.intdigest()
+            if text and tag in BLOCK and tag not in FRAME and not any(x[0] in WHOLE for x in stack):
+                out.append((sign - (1 << 63), start, end))
+            if stack:
+                stack[-1][2].update(b"\x02" + sign.to_bytes(8, "big"))
+                stack[-1][3] |= text
 
     for m in TOKEN.finditer(page):
         text = page[at:m.start()].strip()
-        if text:
-            parts.append(text)
-            size += len(text)
+        if text and stack:
+            stack[-1][2].update(b"\x01" + text.encode("utf-8", "surrogatepass"))
+            stack[-1][3] = True
         at = m.end()
         tag = (m.group(3) or "").lower()
-        if not tag or tag in VOID:
+        if not tag:
+            continue
+        if tag in VOID:
+            if stack:
+                stack[-1][2].update(b"\x03" + tag.encode())
             continue
         if m.group(2):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close(k, m.end())
                     break
-            parts.append("/" + tag)
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSES.get(tag, ()):
@@ -63,11 +75,11 @@ def subtrees(page: str) -> list[tuple[int, int, int]]:
                     break
                 if stack[k][0] in SCOPES:
                     break
-            parts.append(tag)
-            stack.append((tag, m.start(), len(parts), size))
-    if page[at:].strip():
-        parts.append(page[at:].strip())
-        size += 1
+            stack.append([tag, m.start(), xxhash.xxh64(), False])
+    text = page[at:].strip()
+    if text and stack:
+        stack[-1][2].update(b"\x01" + text.encode("utf-8", "surrogatepass"))
+        stack[-1][3] = True
     close(0, len(page))
     return out
 
@@ -216,56 +228,67 @@ def converted(page: str | None) -> tuple[str, list[str], bool]:
     return u, sorted(kinds), marked
 
 
-MANY_PAGES, MOST_OF_HOST = 20, 0.6
+#: A subtree is template if it recurs on so many pages of its host, and on this share of them: copies of one mail, which
+#: share what they say, are few beside all of a large host's pages.
+MANY_PAGES, LEAST_SHARE = 20, 0.01
+SALTS = 16
 
 
-def template_subtrees(pages: DataFrame) -> DataFrame:
+def template_subtrees(pages: DataFrame, many_pages: int = MANY_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(key, cuts): per page the spans of subtrees that are template of its host; pages: key, host, page.
 
-    A subtree is template if it stands on at least 20 pages of the host and on at least 60 % of them;
-    equal pages count once. Only maximal spans are kept. Pages of hosts without template give no row.
+    Equal pages count once. Pages of hosts without template give no row. Pages are parsed once, into a written table of
+    hashes; a page's row without a subtree counts the page.
     """
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, h, xxhash.xxh64_intdigest(p) - (1 << 63), s, a, z) for k, h, p in zip(b.key, b.host, b.page) for s, a, z in subtrees(p)]
-            yield pd.DataFrame(rows, columns=["key", "host", "sign", "subtree", "start", "stop"])
+            rows = []
+            for k, h, p in zip(b.key, b.host, b.page):
+                sign = xxhash.xxh64_intdigest(p) - (1 << 63)
+                rows += [(k, h, sign, None, 0, 0), *((k, h, sign, s, a, z) for s, a, z in subtrees(p))]
+            out = pd.DataFrame(rows, columns=["key", "host", "sign", "subtree", "start", "stop"])
+            out["subtree"] = out["subtree"].astype("Int64")
+            yield out
 
     has = pages.filter(F.col("host").isNotNull() & F.col("page").contains("<"))
-    trees = has.select("key", "host", "page").mapInPandas(hashes, "key string, host string, sign bigint, subtree bigint, start int, stop int")
-    # a page names its hosts' size with one row, so the counts need no second reading
-    counts = trees.select("host", "subtree", "sign").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= MANY_PAGES)
-    sizes = has.select("host", F.xxhash64("page").alias("sign")).distinct().groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MANY_PAGES)
-    frequent = counts.join(sizes, "host").filter(F.col("n") >= MOST_OF_HOST * F.col("pages")).select("host", "subtree")
-    return trees.join(frequent, ["host", "subtree"], "left_semi").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cuts"))
+    trees = written(has.select("key", "host", "page").mapInPandas(hashes, "key string, host string, sign bigint, subtree bigint, start int, stop int"), "subtrees")
+    counts = trees.select("host", "subtree", "sign").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= many_pages)
+    counts = written(counts, "recurring")  # a subtree and a page of every 20
+    sizes = counts.filter(F.col("subtree").isNull()).select("host", F.col("n").alias("pages"))
+    frequent = counts.filter(F.col("subtree").isNotNull()).join(sizes, "host").filter(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
+    # a template stands on all pages of what may be a third of everything: both sides are salted
+    salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = trees.filter(F.col("subtree").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["host", "subtree", "salt"], "left_semi")
+    return hit.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", (-F.col("stop")).alias("stop")))).alias("cuts"))
 
 
 def without(page: str, cuts) -> str:
     """The page without the spans; spans inside others fall with them."""
     out, at = [], 0
     for c in cuts:
-        a, z = c["start"], c["stop"]
+        a, z = c["start"], -c["stop"]  # of those that begin together the longest comes first
         if a >= at:
             out.append(page[at:a])
             at = z
     return "".join(out) + page[at:]
 
 
-def clean_pages(pages: DataFrame) -> DataFrame:
+def clean_pages(pages: DataFrame, many_pages: int = MANY_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(key, clean, kinds, marked) for pages (key, host, page).
 
     Null and empty pages give an empty text without kinds. Repeated rows of a key with equal page count
-    once. A null host has no template. Pages are processed whole.
+    once. A null host has no template. Pages are processed whole. kinds are those of the page without its templates;
+    a page that is marked up stays so if all its mark-up was template.
     """
-    pages = spread(pages.select("key", "host", "page").dropDuplicates(), "key")
-    cut = pages.join(template_subtrees(pages), "key", "left")
+    pages = pages.select("key", "host", "page").dropDuplicates()
+    cut = pages.join(template_subtrees(pages, many_pages, least_share), "key", "left")
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, p, c in zip(b.key, b.page, b.cuts):
-                if c is not None and p is not None:
-                    p = without(p, c)
-                rows.append((k, *converted(p)))
+                clean, kinds, marked = converted(without(p, c) if c is not None and p is not None else p)
+                rows.append((k, clean, kinds, marked or c is not None))
             yield pd.DataFrame(rows, columns=["key", "clean", "kinds", "marked"])
 
     return cut.select("key", "page", "cuts").mapInPandas(convert, "key string, clean string, kinds array<string>, marked boolean")

@@ -14,7 +14,7 @@ from mailloom.llm.pii import personal_items
 from mailloom.llm.similar import similar_groups, similar_rows
 from mailloom.llm.tokens import sized
 from mailloom.operators.instants import sender_domain
-from mailloom.plans.storage import table
+from mailloom.plans.storage import cores, partitions_for, scan_splits, table
 
 
 def _personal(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
@@ -41,6 +41,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML payloads with the host that sent them."""
     hosts = _hosts(spark, sf_dir)
     pages = table(spark, sf_dir, "features").select("mail_id", "html_payloads").filter(F.col("html_payloads") != "")
+    if scan_splits(pages) < cores(spark):  # too few files for Python behind an adaptive join
+        pages = pages.repartition(partitions_for(pages), "mail_id")
     return pages.join(hosts, "mail_id", "left").select(F.col("mail_id").alias("key"), F.when(F.col("host") != "", F.col("host")).alias("host"), F.col("html_payloads").alias("page"))
 
 

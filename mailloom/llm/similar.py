@@ -18,6 +18,8 @@ from mailloom.operators.components import connected_components
 from mailloom.plans.storage import spread, written
 
 BUCKETS = 16
+#: Texts of a shingle, or copies of a text, per part of a join.
+HOT = 1000
 
 
 def word_list(text: Column) -> Column:
@@ -50,15 +52,17 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     shared = grams.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     kept = grams.join(shared, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
     # positions count over all shingles: those of one class only come first
-    docs = kept.select("id", "n", F.col("o.g").alias("toks"), (F.col("n") - F.size("o")).alias("alone"), (F.col("n") - F.ceil(t * F.col("n") - e) + 1).cast("int").alias("plen")).filter("plen > alone")
+    docs = kept.select("id", "n", F.col("o.g").alias("toks"), F.col("o.df").alias("dfs"), (F.col("n") - F.size("o")).alias("alone"), (F.col("n") - F.ceil(t * F.col("n") - e) + 1).cast("int").alias("plen")).filter("plen > alone")
     suffix = F.slice("toks", F.col("plen") - F.col("alone") + 1, F.greatest(F.col("n") - F.col("plen"), F.lit(0)))
     marks = F.transform(suffix, lambda g: F.pmod(g, F.lit(BUCKETS)).cast("int"))
     docs = written(docs.withColumn("_m", marks).withColumn("hist", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.size(F.filter("_m", lambda x: x == k)).cast("smallint"))).drop("_m"), "prefixes")
-    p = docs.select("id", "n", "alone", F.posexplode(F.slice("toks", 1, F.col("plen") - F.col("alone"))).alias("pos", "g")).select("id", "n", (F.col("pos") + F.col("alone")).alias("pos"), "g")
-    left = p.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "g")
-    right = p.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "g")
+    # a shingle of many texts is joined in parts: one side is cut by a hash of its id, the other repeated for each part
+    first = F.slice(F.arrays_zip("toks", "dfs"), 1, F.col("plen") - F.col("alone"))
+    p = docs.select("id", "n", "alone", F.posexplode(first).alias("pos", "x")).select("id", "n", (F.col("pos") + F.col("alone")).alias("pos"), F.col("x.toks").alias("g"), F.ceil(F.col("x.dfs") / F.lit(HOT)).cast("int").alias("parts"))
+    left = p.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    right = p.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     need = F.ceil(t / (1 + t) * (F.col("na") + F.col("nb")) - e)
-    met = left.join(right, "g").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - e) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") >= need))
+    met = left.join(right, ["g", "part"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - e) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") >= need))
     pairs = (met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
         .filter(F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need))
     both = pairs
@@ -81,7 +85,10 @@ def similar_rows(df: DataFrame, key: str, text: str, n: int = 5, threshold: floa
     pairs = similar_classes(classes, threshold)
     m = lambda i, k: members.select(F.col("id").alias(i), F.col("key").alias(k))
     across = pairs.join(m("a", "x"), "a").join(m("b", "y"), "b").select("x", "y")
-    within = m("a", "x").join(m("b", "y"), F.col("a") == F.col("b")).select("x", "y")
+    # pairs of equal texts, in parts: n copies make n (n - 1) / 2 rows, which the result's form asks for
+    sized = members.join(members.groupBy("id").agg(F.ceil(F.count("*") / F.lit(HOT)).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1"), "id")
+    ones = sized.select("id", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    within = ones.join(sized.select("id", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["id", "part"]).select("x", "y")
     return across.unionByName(within).filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 

@@ -101,6 +101,20 @@ def test_templates(spark):
     assert markup.clean_pages(df.limit(0)).count() == 0
 
 
+def test_template_removal_decides(spark):
+    """A menu that recurs on a host's pages is no structure of theirs; with removal switched off it is. One of few pages of a large host stays."""
+    menu, r = "<ul><li>Home</li><li>Imprint</li></ul>", random.Random(2)
+    rows = [(f"k{i}", "a.test", f"<body><table><tr><td>{menu}</td></tr></table><p>{r.random()}</p></body>") for i in range(30)]
+    rows += [(f"b{i}", "b.test", f"<body>{menu if i < 25 else ''}<p>{r.random()}</p></body>") for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, host string, page string")
+    on = {x.key: x for x in markup.clean_pages(df).collect()}
+    off = {x.key: x for x in markup.clean_pages(df, many_pages=10 ** 6).collect()}
+    assert all(on[f"k{i}"].kinds == [] and on[f"k{i}"].marked and off[f"k{i}"].kinds == ["list"] for i in range(30))
+    assert all(on[f"b{i}"].kinds == off[f"b{i}"].kinds == ["list"] for i in range(25))
+    # formulas and preformatted text are whole: equal parts of them are no template
+    assert {x[1:] for x in markup.subtrees("<math><mi>x</mi></math><p>a</p><pre><p>b</p></pre>")} == {(23, 31), (31, 50)}
+
+
 TEXTS = ["Vielen Dank für Ihre Geduld, während die Rückgabestelle den Vorgang geprüft hat.", "Votre colis reste au dépôt car les frais ne sont pas réglés, déjà.", "Su paquete está en el almacén porque aún falta pagar.", "Наш учебный отдел отложил для вас сумму и ждёт ответа.",
          "Państwa paczka czeka w magazynie, ponieważ brakuje opłaty.", "If you don’t answer, the “import” screen costs €12.", "Nothing but ASCII here."]
 
