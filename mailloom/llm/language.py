@@ -2,16 +2,21 @@
 
 Filters of several widths slide over fixed-length windows of UTF-8 bytes; their maxima feed a softmax.
 The network is trained in numpy on a bounded sample of labelled documents (``sample`` rows, by hash
-order), twice: labels that the first model doubts are left out of the second pass, as some labels are
-wrong. It is applied to every sentence of every document in batches; long sentences give several
-windows, whose log-probabilities are averaged.
+order). Every label is a class at first. As some labels are wrong, two networks are fitted on a half each
+and judge the other half: a document whose label its judge doubts is left out of the last fit, and with it
+a label that has no document left. So a language is learnt from few documents if they tell it, and a
+wrong label isn't, however often it occurs. The network is applied to every sentence of every document in
+batches; long sentences give several windows, whose log-probabilities are averaged; sentences met before in a
+task are looked up.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,6 +30,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 64
 SAMPLE = 4000
 PER_DOCUMENT = 8
+#: A label is doubted if its judge, who never saw the document, gives it less than this on average.
+DOUBT = 0.5
+#: Sentences a task remembers before it forgets all.
+MEMORY = 200_000
 
 # Customary forms of language labels besides two-letter codes (ISO 639-2/3 and names).
 LABELS = {
@@ -164,88 +173,139 @@ def _arrays(wins: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(wins), np.uint8).reshape(-1, WINDOW)
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 5) -> ByteNet | None:
-    """A network for (text, label code) rows; None without two languages. A language needs 3 documents and 1.2 % of them."""
-    counts: dict[str, int] = {}
-    for _, lab in rows:
-        counts[lab] = counts.get(lab, 0) + 1
-    classes = sorted(c for c, n in counts.items() if n >= max(3, 0.012 * len(rows)))
-    if not classes:
-        return None
-    rng, wins, ys = np.random.default_rng(seed), [], []
-    for text, lab in rows:
-        if lab not in classes:
-            continue
-        spans = sentences(text)
-        for k in rng.permutation(len(spans))[:PER_DOCUMENT]:
-            c = cleaned(text[slice(*spans[k])])
-            if len(LETTERS.findall(c)) < 3:
-                continue
-            forms = [c] + ([bare(c)] if rng.random() < 0.25 else [])
-            for form in forms:
-                ww = windows(form)
-                wins += ww
-                ys += [classes.index(lab)] * len(ww)
+class Sample(NamedTuple):
+    """A labelled document's sentences, cleaned; at most PER_DOCUMENT of them, each of at most LONGEST letters."""
+
+    name: int
+    label: str
+    parts: list[str]
+
+
+LONGEST = 4 * WINDOW
+
+
+def sampled(name: int, text: str, label: str) -> Sample:
+    spans = sentences(text)
+    order = np.random.default_rng(name & 0xffffffff).permutation(len(spans))[:PER_DOCUMENT]
+    parts = [c for k in order if len(LETTERS.findall(c := cleaned(text[slice(*spans[k])]))) >= 3]
+    return Sample(name, label, [c[:LONGEST] for c in parts])
+
+
+def _windows_of(docs: list[Sample], classes: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, class of each, document of each); some sentences also without accents or in part."""
+    rng = np.random.default_rng(seed)
+    wins: list[bytes] = []
+    ys, owner = [], []
+    for d, doc in enumerate(docs):
+        for c in doc.parts:
+            mine: list[bytes] = []
+            for form in [c] + ([bare(c)] if rng.random() < 0.25 else []):
+                mine += windows(form)
                 if rng.random() < 0.3:  # a part of a sentence
-                    parts = form.split()
-                    a = int(rng.integers(0, max(1, len(parts) - 3)))
-                    wins.append(windows(" ".join(parts[a:a + 4]))[0])
-                    ys.append(classes.index(lab))
-    if not wins:
-        return None
-    x, y = _arrays(wins), np.array(ys)
-    share = np.bincount(y, minlength=len(classes)) / len(y)
-    weight = (1 / np.sqrt(np.maximum(share, 1e-3)))[y]
-    weight /= weight.mean()
+                    words = form.split()
+                    a = int(rng.integers(0, max(1, len(words) - 3)))
+                    mine.append(windows(" ".join(words[a:a + 4]))[0])
+            wins += mine
+            ys += [classes.index(doc.label)] * len(mine)
+            owner += [d] * len(mine)
+    return _arrays(wins) if wins else np.zeros((0, WINDOW), np.uint8), np.array(ys, np.int64), np.array(owner, np.int64)
+
+
+def _net(classes: list[str], x: np.ndarray, y: np.ndarray, steps: int, seed: int, even: bool) -> ByteNet:
+    """``even``: rare classes weigh more than their share."""
+    weight = np.ones(len(y))
+    if even:
+        share = np.bincount(y, minlength=len(classes)) / len(y)
+        weight = (1 / np.sqrt(np.maximum(share, 1e-3)))[y]
+        weight /= weight.mean()
     net = ByteNet(classes, seed)
-    epochs = max(3, min(40, 60000 // max(1, len(x))))
-    net.train(x, y, weight, epochs, 0.004, seed)
-    sure = np.exp(net.log_probabilities(x)[np.arange(len(y)), y]) > 0.4
-    second = ByteNet(classes, seed + 1)
-    second.train(x[sure], y[sure], weight[sure], epochs, 0.004, seed + 1)
-    return second
+    net.train(x, y, weight, max(2, min(40, steps // max(1, len(x)))), 0.004, seed)
+    return net
 
 
-def trained(documents: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> ByteNet | None:
-    """Fits the network on at most ``sample`` labelled documents: a bounded sample, the first by hash of the key."""
-    known = documents.filter(F.length(F.trim(F.col(text))) > 40).filter(~F.lower(F.trim(F.coalesce(F.col(label), F.lit("")))).isin(*sorted(SILENT)))
-    rows = known.select(F.xxhash64(F.lit("sample"), F.col(key)).alias("h"), F.col(text).alias("t"), F.col(label).alias("l")).orderBy("h", "t").limit(sample).collect()
-    pairs = [(r["t"], code) for r in rows if (code := label_code(r["l"]))]
-    return fit(pairs)
+def fit(docs: list[Sample], seed: int = 5, doubt: float = DOUBT) -> ByteNet | None:
+    """A network for labelled documents; None without any. Labels that the judges doubt are left out."""
+    docs = sorted((d for d in docs if d.parts), key=lambda d: d.name)
+    if not docs:
+        return None
+    classes = sorted({d.label for d in docs})
+    x, y, owner = _windows_of(docs, classes, seed)
+    half = np.array([int(hashlib.md5(str(d.name).encode()).hexdigest(), 16) % 2 for d in docs])
+    trust = np.ones(len(docs), bool)
+    if len(classes) > 1 and 0 < half.sum() < len(docs):
+        for k in (0, 1):
+            own, other = half[owner] != k, half[owner] == k
+            judge = _net(classes, x[own], y[own], 40_000, seed + k, even=False)
+            p = np.exp(judge.log_probabilities(x[other])[np.arange(int(other.sum())), y[other]])
+            n = np.bincount(owner[other], minlength=len(docs))
+            mean = np.bincount(owner[other], p, minlength=len(docs)) / np.maximum(n, 1)
+            trust &= (n == 0) | (mean >= doubt)
+    good = [d for d, t in zip(docs, trust) if t] or docs
+    classes = sorted({d.label for d in good})
+    x, y, _ = _windows_of(good, classes, seed + 2)
+    return _net(classes, x, y, 60_000, seed + 3, even=True)
+
+
+_FITTED: dict[tuple, ByteNet | None] = {}
 
 
-def classify(net: ByteNet, texts: list[str]) -> list[list[tuple[int, int, str, float, int]]]:
-    """For each text its sentences: (start, end, language, confidence, words); sentences without letters are ``und``."""
+def trained(documents: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> ByteNet | None:
+    """Fits the network on about ``sample`` labelled documents: a bounded sample, those whose hash of the key is below a bound.
+
+    Executors choose the sentences, so the driver gets at most sample x PER_DOCUMENT of them, of bounded length. Within
+    an application, queries over the same documents share the fitted network.
+    """
+    spark = documents.sparkSession
+    slim = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.col(label).alias("label"))
+    mark = (spark.sparkContext.applicationId, slim.semanticHash(), tuple(sorted(slim.inputFiles())), sample)
+    if mark in _FITTED:
+        return _FITTED[mark]
+    known = slim.filter(F.length(F.trim("text")) > 40).filter(~F.lower(F.trim(F.coalesce(F.col("label"), F.lit("")))).isin(*sorted(SILENT)))
+    h = F.xxhash64(F.lit("sample"), F.col("key"))
+    total = known.count()
+    if total > sample:
+        known = known.filter(h < F.lit(int(sample / total * 2 ** 64) - 2 ** 63))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [sampled(n, t, code) for n, t, lab in zip(b.h, b.text, b.label) if (code := label_code(lab))]
+            yield pd.DataFrame([(r.name, r.label, r.parts) for r in rows if r.parts], columns=["name", "label", "parts"])
+
+    rows = known.select(h.alias("h"), "text", "label").mapInPandas(choose, "name bigint, label string, parts array<string>").limit(sample + sample // 4).collect()
+    net = fit([Sample(r["name"], r["label"], list(r["parts"])) for r in rows])
+    if len(_FITTED) >= 8:
+        _FITTED.clear()
+    _FITTED[mark] = net
+    return net
+
+
+def classify(net: ByteNet, texts: list[str], known: dict[str, tuple[str, float]] | None = None) -> list[list[tuple[int, int, str, float, int]]]:
+    """For each text its sentences: (start, end, language, confidence, words); sentences without letters are ``und``.
+
+    ``known`` remembers cleaned sentences; it is filled here.
+    """
+    known = {} if known is None else known
+    if len(known) > MEMORY:
+        known.clear()
     spans = [sentences(t) for t in texts]
     clean = [[cleaned(t[a:b]) for a, b in sp] for t, sp in zip(texts, spans)]
+    n_words = {c: len(LETTERS.findall(c)) for cs in clean for c in cs}
+    new = [c for c, n in n_words.items() if n and c not in known]
     wins: list[bytes] = []
     owner: list[int] = []
-    flat = [c for cs in clean for c in cs]
-    n_words = [len(LETTERS.findall(c)) for c in flat]
-    for i, c in enumerate(flat):
-        if n_words[i]:
-            ww = windows(c)
-            wins += ww
-            owner += [i] * len(ww)
-    scores = np.zeros((len(flat), len(net.classes)))
+    for i, c in enumerate(new):
+        ww = windows(c)
+        wins += ww
+        owner += [i] * len(ww)
     if wins:
-        lp = net.log_probabilities(_arrays(wins))
-        np.add.at(scores, owner, lp)
-        scores /= np.maximum(np.bincount(owner, minlength=len(flat)), 1)[:, None]
-    out, i = [], 0
-    for sp in spans:
-        mine = []
-        for a, b in sp:
-            if n_words[i]:
-                p = np.exp(scores[i] - scores[i].max())
-                p /= p.sum()
-                k = int(p.argmax())
-                mine.append((a, b, net.classes[k], float(p[k]), n_words[i]))
-            else:
-                mine.append((a, b, "und", 1.0, 0))
-            i += 1
-        out.append(mine)
-    return out
+        scores = np.zeros((len(new), len(net.classes)))
+        np.add.at(scores, owner, net.log_probabilities(_arrays(wins)))
+        scores /= np.bincount(owner, minlength=len(new))[:, None]
+        p = np.exp(scores - scores.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        for c, k, top in zip(new, p.argmax(1), p.max(1)):
+            known[c] = net.classes[int(k)], float(top)
+    return [[(a, b, *(known[c] if n_words[c] else ("und", 1.0)), n_words[c]) for (a, b), c in zip(sp, cs)] for sp, cs in zip(spans, clean)]
 
 
 LEAST_WORDS, LEAST_CONFIDENCE = 4, 0.8
@@ -298,27 +358,29 @@ def resolved(found: list[tuple[int, int, str, float, int]], coded: bool = False)
 SCHEMA = "key bigint, label string, doc_lang string, doc_confidence double, segment int, seg_start int, seg_end int, seg_lang string, seg_confidence double, whole boolean"
 
 
-def segments(documents: DataFrame, key: str, text: str, label: str, net: ByteNet | None = None, batch: int = 64) -> DataFrame:
+def segments(documents: DataFrame, key: str, text: str, label: str, net: ByteNet | None = None, batch: int = 64, once: bool = True) -> DataFrame:
     """One row per segment of every document with text: the label's code (null if it says nothing), the language of
     the document and of the segment, each with a confidence.
 
     Null, empty and blank texts give no row; a text of links and codes only is ``und``. Repeated
-    identical rows count once. Offsets count characters of the text.
+    identical rows count once, unless ``once`` is off, which saves the shuffle of all texts where the caller does so. Offsets count characters of the text.
     """
     net = net or trained(documents, key, text, label)
     spark = documents.sparkSession
     if net is None:
         return spark.createDataFrame([], SCHEMA)
     shared = spark.sparkContext.broadcast(net)  # bounded: tables of fixed size per language
-    rows = spread(documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).filter(F.length(F.regexp_replace("text", r"\s+", "")) > 0), "key").dropDuplicates()
+    rows = spread(documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).filter(F.col("text").rlike(r"\S")))
+    rows = rows.dropDuplicates() if once else rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
+        known: dict[str, tuple[str, float]] = {}
         for big in batches:
             for i in range(0, len(big), batch):
                 b = big.iloc[i:i + batch]
                 out = []
-                for k, lab, t, found in zip(b.key, b.label, b.text, classify(model, list(b.text))):
+                for k, lab, t, found in zip(b.key, b.label, b.text, classify(model, list(b.text), known)):
                     lang, conf, segs = resolved(found, bool(LINK.search(t) or re.search(r"\d", t)))
                     code = label_code(lab)
                     out += [(k, code, lang, conf, n, s, e, sl, sc, w) for n, (s, e, sl, sc, w) in enumerate(segs)]
@@ -329,7 +391,7 @@ def segments(documents: DataFrame, key: str, text: str, label: str, net: ByteNet
 
 def label_findings(segs: DataFrame) -> DataFrame:
     """(key, found_lang): documents whose label is missing or wrong, or which mix languages; a row per language."""
-    per = segs.groupBy("key").agg(F.first("label").alias("label"), F.first("doc_lang").alias("main"), F.collect_set(F.when(F.col("whole"), F.col("seg_lang"))).alias("langs"))
+    per = segs.groupBy("key").agg(F.min("label").alias("label"), F.min_by("doc_lang", F.struct("label", "doc_lang")).alias("main"), F.collect_set(F.when(F.col("whole"), F.col("seg_lang"))).alias("langs"))
     per = per.withColumn("langs", F.when(F.size("langs") == 0, F.array("main")).otherwise(F.col("langs")))
     case = F.col("label").isNull() | ~F.array_contains("langs", F.col("label")) | (F.size("langs") > 1)
     return per.filter(F.coalesce(case, F.lit(True))).select("key", F.explode("langs").alias("found_lang"))

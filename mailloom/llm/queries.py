@@ -105,12 +105,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(p9_mix(spark, sf_dir), targets, "doc_id")
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+def _segments(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    return segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", once=once)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_findings(_segments(spark, sf_dir)).withColumnRenamed("key", "doc_id")
+    return label_findings(_segments(spark, sf_dir, once=False)).withColumnRenamed("key", "doc_id")
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

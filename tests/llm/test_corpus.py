@@ -45,6 +45,13 @@ def test_pairs(spark, n, t, least):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, n, t, least)
 
 
+def test_hot_shingles_and_copies_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HOT", 3)
+    rows = texts(21) + [(f"hot{i:02}", "the very same words of a mail to very many people") for i in range(20)]
+    got = [(x.key_a, x.key_b) for x in similar.similar_rows(spark.createDataFrame(rows, "key string, text string"), "key", "text", 2, 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 2, 0.5, 0)
+
+
 def test_groups(spark):
     rows = texts(9) + [(f"hot{i:02}", "the very same text of a mail that was sent to many people") for i in range(40)]
     df = spark.createDataFrame(rows, "key string, text string")
@@ -198,6 +205,26 @@ def corpus(seed, n):
     return rows
 
 
+def test_rare_labels_are_classes_and_wrong_ones_are_not():
+    """A language of a handful of documents is learnt; a label that stands on texts of other languages is not, though it occurs more often."""
+    rows = [(i, t, lang) for i, t, lang in corpus(3, 400) if lang != "ru" or i < 60]
+    rare = sum(lang == "ru" for *_, lang in rows)
+    assert 0 < rare < 0.06 * len(rows)
+    r = random.Random(4)
+    wrong = [(1000 + i, t, "gl") for i, (_, t, lang) in enumerate(r.sample([x for x in rows if x[2] != "ru"], 30))]
+    net = language.fit([language.sampled(*x) for x in rows + wrong])
+    assert net.classes == ["de", "en", "fr", "ru"]
+    assert language.classify(net, ["Мы заметили, что договор не подтверждён."])[0][0][2] == "ru"
+
+
+def test_remembered_sentences_change_nothing():
+    net, known = language.fit([language.sampled(*x) for x in corpus(2, 120)]), {}
+    texts = [t for _, t, _ in corpus(7, 40)]
+    near = lambda found: [[(a, b, lang, round(p, 5), w) for a, b, lang, p, w in one] for one in found]
+    once = near(language.classify(net, texts))
+    assert near([language.classify(net, [t], known)[0] for t in texts + texts]) == once + once and known
+
+
 def test_languages(spark):
     rows = corpus(1, 400)
     wrong = {i: "it" if i % 2 else r for i, r in ((k, None) for k in range(0, 400, 23))}
@@ -220,7 +247,7 @@ def test_languages(spark):
 
 
 def test_held_out():
-    net = language.fit([(t, lang) for _, t, lang in corpus(2, 300)])
+    net = language.fit([language.sampled(i, t, lang) for i, t, lang in corpus(2, 300)])
     test = corpus(3, 100)
     got = language.classify(net, [t for _, t, _ in test])
     hits = [lang == found for (_, _, lang), spans in zip(test, got) for *_, found, _, _ in [s for s in spans]]
