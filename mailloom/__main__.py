@@ -1,6 +1,8 @@
 """python -m mailloom COMMAND ...: the library's jobs on folders of mail.
 
   split MAILBOX OUT              one .eml file per message of a mailbox, named by date and hash
+  show IN                        the mails in IN: headers and parts, one line each
+  tree DIR                       the files below a folder
   features IN OUT                the twelve features of the mails in IN, as Parquet
   anonymize IN OUT [LIST]        mails under pseudonyms; LIST holds domains, one a line; rejects go to OUT/_rejects
   cluster ALGORITHM IN OUT [P]   folders of links, one per cluster; P is the algorithm's parameter
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from mailloom.operators import anonymize, compare
 from mailloom.operators.features import extracted
-from mailloom.operators.sweep import ALGORITHMS, clusterings
+from mailloom.operators.sweep import ALGORITHMS, SWEEP, clusterings
 from mailloom.plans.storage import written
 from mailloom.sources import mails as src
 
@@ -61,10 +63,6 @@ def cluster(spark: SparkSession, algorithm: str, path: str, out: str, parameter:
     _links(clusterings(written(extracted(mails), "features"), {"job": job}), files, out)
 
 
-#: The jobs of the sweep.
-SWEEP = {f"clope_r{r}": ("clope_observed", float(r)) for r in (5, 3, 7.5, 10, 15, 20)}
-
-
 def _folders(spark: SparkSession, path: str) -> DataFrame:
     return src.leaf_clusters(src.tree(spark, path))
 
@@ -89,7 +87,20 @@ def duplicates(spark: SparkSession, path: str) -> DataFrame:
     return compare.report(runs).unionByName(lines)
 
 
-COMMANDS = {"split": split, "features": features, "anonymize": anonymized, "cluster": cluster, "sweep": sweep_jobs, "diff": diff, "duplicates": duplicates}
+def show(spark: SparkSession, path: str) -> DataFrame:
+    """(mail_id, line): error or headers, then a line per part."""
+    mails, _ = mails_of(spark, path)
+    heads = F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit(": "), F.coalesce(e.value, F.lit("-"))))
+    parts = F.transform("payloads", lambda p: F.format_string("%s %s %s at %d to %d, %d characters", p.content_type, p.encoding, F.coalesce(p.charset, p.extension), p.start, p.end, F.length(p.content)))
+    lines = F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("rejected: "), "error"))).otherwise(F.concat(heads, parts))
+    return mails.select("mail_id", F.explode(lines).alias("line")).orderBy("mail_id")
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    return src.tree(spark, path).select("folder", "name").orderBy("folder", "name")
+
+
+COMMANDS = {"show": show, "tree": listing, "split": split, "features": features, "anonymize": anonymized, "cluster": cluster, "sweep": sweep_jobs, "diff": diff, "duplicates": duplicates}
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:

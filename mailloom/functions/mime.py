@@ -11,6 +11,7 @@ from email.header import Header, decode_header, make_header
 from html import escape
 from html.parser import HTMLParser
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -61,23 +62,32 @@ class Part:
         self.disposition = headers.get("content-disposition", "").split(";")[0].strip().lower()
 
 
-def parts_of(raw: str, start: int = 0, end: int | None = None, depth: int = 0) -> list[Part]:
-    """Leaf parts in order; nested multiparts are followed down to 20 levels."""
-    end = len(raw) if end is None else end
-    gap = BLANK.search(raw, start, end)
-    top, body = (raw[start:gap.start()], gap.end()) if gap else (raw[start:end], end)
-    me = Part(headers_of(top), body, end)
-    boundary = me.params.get("boundary")
-    if not me.type.startswith("multipart/") or not boundary or depth > 20:
-        return [me]
-    marks = list(re.finditer(rf"(?:^|(?<=\n))--{re.escape(boundary)}(--)?[ \t]*\r?(?:\n|\Z)", raw[body:end]))
+def parts_of(raw: str) -> list[Part]:
+    """Leaf parts in order; multiparts are followed to any depth, each within the one around it."""
     out: list[Part] = []
-    for m, following in zip(marks, [*marks[1:], None]):
-        if m.group(1):
-            break
-        stop = body + following.start() if following else end
-        stop -= raw[max(body, stop - 2):stop] == "\r\n" and 2 or raw[stop - 1:stop] == "\n" and 1 or 0 if following else 0
-        out += parts_of(raw, body + m.end(), stop, depth + 1)
+    todo = [(0, len(raw))]  # spans yet to read, the next one last
+    while todo:
+        start, end = todo.pop()
+        gap = BLANK.search(raw, start, end)
+        top, body = (raw[start:gap.start()], gap.end()) if gap else (raw[start:end], end)
+        me = Part(headers_of(top), body, end)
+        boundary = me.params.get("boundary")
+        if not me.type.startswith("multipart/") or not boundary:
+            out.append(me)
+            continue
+        inside = []
+        begin = None
+        for m in re.finditer(rf"^--{re.escape(boundary)}(--)?[ \t]*\r?(?:\n|\Z)", raw[body:end], re.M):
+            if begin is not None:
+                stop = body + m.start()
+                stop -= 2 if raw[max(body, stop - 2):stop] == "\r\n" else raw[stop - 1:stop] == "\n"
+                inside.append((begin, stop))
+            begin = None if m.group(1) else body + m.end()
+            if m.group(1):
+                break
+        if begin is not None:
+            inside.append((begin, end))
+        todo += reversed(inside)
     return out
 
 
@@ -138,30 +148,41 @@ def attachments_of(raw: str) -> list[dict]:
     return out
 
 
-class _Texts(HTMLParser):
-    """Text nodes, but for those right after the start of a style element."""
+class TextNodes(HTMLParser):
+    """Collects the trimmed text nodes of a page in ``nodes``; style sheets are none."""
 
-    def __init__(self):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.tag, self.found = "", set()
+        self.nodes: list[str] = []
+        self.in_style = False
+        self.feed(page)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        self.tag = tag
+        self.in_style = tag == "style"
 
     def handle_data(self, data):
-        s = data.strip()
-        if s and self.tag != "style":
-            self.found |= {s, escape(s), escape(s, quote=False)}
+        if not self.in_style and (text := data.strip()):
+            self.nodes.append(text)
 
 
 def skeleton_of(page: str) -> str:
-    """The page without any of its text nodes' strings, wherever they occur; longest first."""
-    p = _Texts()
-    p.feed(page)
-    p.close()
-    for s in sorted(p.found, key=lambda x: (-len(x), x)):
-        page = page.replace(s, "")
-    return page
+    """The page without its text nodes' strings, wherever they occur, escaped or not.
+
+    One automaton of all strings reads the page once; at each place the longest string goes.
+    """
+    strings = ahocorasick.Automaton()
+    for text in set(TextNodes(page).nodes):
+        for form in (text, escape(text, quote=False), escape(text)):
+            strings.add_word(form, len(form))
+    if not len(strings):
+        return page
+    strings.make_automaton()
+    kept, at = [], 0
+    for last, size in strings.iter_long(page):
+        kept.append(page[at:last + 1 - size])
+        at = last + 1
+    return "".join(kept) + page[at:]
 
 
 PAYLOADS = "array<struct<start:int,end:int,content:string,content_type:string,encoding:string,extension:string,charset:string>>"
@@ -188,18 +209,6 @@ payloads = arrow(payloads_of, PAYLOADS)
 attachments = arrow(attachments_of, "array<struct<name:string,n_bytes:bigint>>")
 
 
-def encoded_text(text: str, encoding: str | None, charset: str | None) -> str:
-    """Text in the charset and transfer encoding of its part."""
-    try:
-        return encoded(text.encode(charset or "utf-8", "ignore"), encoding)
-    except LookupError:
-        return encoded(text.encode("utf-8", "ignore"), encoding)
-
-
-payload_text = arrow(text_of, "string")
-payload_encoded = arrow(encoded_text, "string")
-
-
 def with_texts(raw: str, parts: list, texts: list) -> str:
     """The raw message with the content of its text parts replaced by texts, in place."""
     out, at = [], 0

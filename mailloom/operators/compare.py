@@ -54,11 +54,17 @@ def mutual_match(pairs: DataFrame) -> DataFrame:
     return pairs.join(best("gold_id", "cluster_id"), keys, "left_semi").join(best("cluster_id", "gold_id"), keys, "left_semi")
 
 
-def match_status(gold: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, gold_id, cluster_id, status): matched pairs, missing gold clusters, additional clusters."""
-    matched = mutual_match(overlap(gold, runs)).select("run_id", "gold_id", "cluster_id", F.lit("matched").alias("status"))
-    each = runs.select("run_id").distinct()
-    golds = each.select("run_id", F.explode(F.array(F.lit(0))).alias("_k")).join(gold.select("gold_id").distinct().withColumn("_k", F.lit(0)), "_k").drop("_k")
+#: Most runs compared at once; their names are collected.
+MOST_RUNS = 10_000
+
+
+def match_status(gold: DataFrame, runs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(run_id, gold_id, cluster_id, status): matched pairs, missing gold clusters, additional clusters. ``pairs``: their overlap, if known."""
+    matched = written(mutual_match(written(overlap(gold, runs), "overlap") if pairs is None else pairs).select("run_id", "gold_id", "cluster_id", F.lit("matched").alias("status")), "matched")
+    names = sorted(r["run_id"] for r in runs.select("run_id").distinct().limit(MOST_RUNS + 1).collect())
+    if len(names) > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs at once")
+    golds = gold.select("gold_id").distinct().withColumn("run_id", F.explode(F.array(*[F.lit(x) for x in names]).cast("array<string>")))
     missing = golds.join(matched, ["run_id", "gold_id"], "left_anti").select("run_id", "gold_id", F.lit(None).cast("string").alias("cluster_id"), F.lit("missing").alias("status"))
     additional = runs.select("run_id", "cluster_id").distinct().join(matched, ["run_id", "cluster_id"], "left_anti").select("run_id", F.lit(None).cast("string").alias("gold_id"), "cluster_id", F.lit("additional").alias("status"))
     return matched.unionByName(missing).unionByName(additional)
@@ -66,9 +72,10 @@ def match_status(gold: DataFrame, runs: DataFrame) -> DataFrame:
 
 def diff_counts(gold: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, tp, tn, fp, fn, n, n_gold_clusters, n_clusters) summed over matched, missing and additional clusters."""
-    status = match_status(gold, runs)
+    pairs = written(overlap(gold, runs), "overlap")
+    status = match_status(gold, runs, pairs)
     ng, no = gold.groupBy("gold_id").agg(F.count("*").alias("ng")), runs.groupBy("run_id", "cluster_id").agg(F.count("*").alias("no"))
-    tp = overlap(gold, runs).select("run_id", "gold_id", "cluster_id", "tp")
+    tp = pairs.select("run_id", "gold_id", "cluster_id", "tp")
     # members of gold that a run's cluster holds: only those lower the true negatives
     inside = runs.join(gold.select("member").distinct(), "member", "left_semi").groupBy("run_id", "cluster_id").agg(F.count("*").alias("ni"))
     x = status.join(ng, "gold_id", "left").join(no, ["run_id", "cluster_id"], "left").join(tp, ["run_id", "gold_id", "cluster_id"], "left").join(inside, ["run_id", "cluster_id"], "left")
@@ -166,7 +173,7 @@ def label_metrics(gold: DataFrame, runs: DataFrame) -> DataFrame:
     A matched pair shares a label, every other cluster has its own; macro means run over the labels
     that occur on either side of the aligned members, and an empty denominator counts as 0.
     """
-    matched = mutual_match(overlap(gold, runs)).select("run_id", F.col("gold_id").alias("_g"), F.col("cluster_id").alias("_c"))
+    matched = mutual_match(written(overlap(gold, runs), "overlap")).select("run_id", F.col("gold_id").alias("_g"), F.col("cluster_id").alias("_c"))
     table = contingency(gold, runs)
     name = matched.select("run_id", F.col("_c").alias("cluster_id"), F.col("_g").alias("label"))
     t = table.join(name, ["run_id", "cluster_id"], "left").select("run_id", F.concat(F.lit("g"), "gold_id").alias("truth"), F.coalesce(F.concat(F.lit("g"), "label"), F.concat(F.lit("c"), "cluster_id")).alias("guess"), "n")

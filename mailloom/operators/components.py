@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.plans.storage import written
+from mailloom.plans.storage import drop, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str, b: str, most: int = 50) -> Da
     e = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u != v").distinct(), "edges")
     seen = None
     for _ in range(most):
-        e = written(_star(_star(e, True), False), "edges")
+        before, e = e, written(_star(_star(e, True), False), "edges")
+        drop(before)
         sign = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if sign == seen:
             break

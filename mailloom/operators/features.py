@@ -16,7 +16,6 @@ NON_CATEGORICAL = ["text_payloads", "html_payloads", "image_payloads", "subject"
 #: the path as leaves one character of it.
 _C = r"[a-zA-Z0-9\-_\.~/\[\]]+"
 URI = rf"(https|http|ftp|mailto|file|data|irc):(?://({_C}@)?({_C}(?::[0-9]+)?)?)?({_C})(\?{_C})?(\#{_C})?"
-TAGS = r"<[^>]*>"
 STEP, STEPS = 64 * 1024, 256
 
 
@@ -51,18 +50,6 @@ def extension(name: Column) -> Column:
     return F.regexp_extract(name, r"^(?:.*/)?\.*[^./][^/]*(\.[^./]*)$", 1)
 
 
-def tags_only(page: Column) -> Column:
-    """The tags of a page in order; unlike ``mime.html_skeleton`` it never touches what is inside them."""
-    return F.array_join(F.regexp_extract_all(page, F.lit(TAGS), F.lit(0)), "")
-
-
-def decoded_parts(mails: DataFrame) -> DataFrame:
-    """One row per payload: mail_id, pos, content_type, text (of text parts), content."""
-    parts = mails.filter(F.col("error").isNull()).select("mail_id", F.posexplode("payloads").alias("pos", "p"))
-    is_text = F.col("p.content_type").isin("PLAINTEXT", "HTMLTEXT")
-    return parts.select("mail_id", "pos", F.col("p.content_type").alias("content_type"), F.when(is_text, mime.payload_text("p.content", "p.encoding", "p.charset")).alias("text"), F.col("p.content").alias("content"))
-
-
 def extracted(mails: DataFrame) -> DataFrame:
     """features(mail_id and the twelve) of every mail without error; a duplicate mail_id counts once.
 

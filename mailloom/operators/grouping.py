@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.plans.rank import numbered
-from mailloom.plans.storage import written
+from mailloom.plans.storage import drop, written
 
 
 def all_in_one(df: DataFrame, cluster_id: str = "all") -> DataFrame:
@@ -69,13 +69,17 @@ def entropy_tree(df: DataFrame, attributes: list[str], threshold: float = 50.0,
         key = F.md5(F.array_join(F.array(*[F.md5(F.col(a).cast("binary")) for a in attributes]), ",").cast("binary"))
         return rows.select("mail_id", key.alias("cluster_id"))
     state = rows.select("mail_id", F.lit("").alias("node"), F.array().cast("array<int>").alias("used"), F.lit(True).alias("open"), *attributes)
+    before = None
     for _ in range(len(attributes)):
         state = written(state, "tree")
+        for old in before or ():
+            drop(old)
         cells = long_form_of(state, attributes)
         split = node_split(attribute_entropy(cells, ["node"]), ["node"], threshold, stop_when_pure).filter(F.col("split_pos").isNotNull()).select("node", "split_pos")
         split = written(split, "splits")
         if split.isEmpty():
             break
+        before = state, split
         joined = state.join(split, "node", "left")
         value = F.element_at(F.array(*attributes), F.col("split_pos") + 1)
         go = F.col("split_pos").isNotNull()

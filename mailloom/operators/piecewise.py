@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.plans.rank import numbered
-from mailloom.plans.storage import spread, written
+from mailloom.plans.storage import drop, spread, written
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LEAST_BLOCK, LENGTH, WINDOW = 3, 64, 7
-# h -> (h * prime) xor byte, of which only the low 6 bits reach the signature
-_STEP = [[((h * 0x01000193) ^ c) & 63 for c in range(256)] for h in range(64)]
+# of a hash only the low 6 bits reach the signature
+PRIME = 0x01000193
 _START = 0x28021967 & 63
 
 
@@ -39,32 +39,48 @@ def _triggers(data: np.ndarray) -> np.ndarray:
     return plain + weighted + shifted
 
 
-def _signature(data: bytes, rolled: np.ndarray, block: int, most: int) -> str:
-    cuts = np.flatnonzero(rolled % np.uint32(block) == block - 1) + 1
-    out, at = [], 0
-    for cut in cuts[:most - 1].tolist():
-        h = _START
-        for c in data[at:cut]:
-            h = _STEP[h][c]
-        out.append(LETTERS[h])
-        at = cut
-    if at < len(data):
-        h = _START
-        for c in data[at:]:
-            h = _STEP[h][c]
-        out.append(LETTERS[h])
-    return "".join(out)
+def _hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The low six bits of the pieces' hashes after every byte, for pieces that begin at ``starts``.
+
+    A step multiplies by the prime and adds the byte without carry. Bit k of a product depends on bits up to k only and
+    on bit k itself without carry, so each bit is a running exclusive or, once the lower bits are known.
+    """
+    n = len(data)
+    at = np.zeros(n, np.int64)
+    at[starts] = 1
+    at = starts[np.cumsum(at) - 1]  # where each byte's piece begins
+    low = np.zeros(n, np.uint8)
+    before = np.zeros(n, np.uint8)  # lower bits of the hash before each byte
+    for k in range(6):
+        x = ((before.astype(np.uint16) * (PRIME & 63)) >> k & 1).astype(np.uint8) ^ (data >> k & 1)
+        run = np.bitwise_xor.accumulate(x)
+        bit = run ^ np.where(at > 0, run[at - 1], 0) ^ (_START >> k & 1)
+        low |= bit << k
+        before = np.empty(n, np.uint8)
+        before[1:] = low[:-1]
+        before[starts] = _START & ((2 << k) - 1)
+    return low
+
+
+def _signature(data: np.ndarray, rolled: np.ndarray, block: int, most: int) -> str:
+    if not len(data):
+        return ""
+    cuts = np.flatnonzero(rolled % np.uint32(block) == block - 1)[:most - 1] + 1
+    starts = np.concatenate([[0], cuts])
+    starts = starts[starts < len(data)]
+    ends = np.concatenate([starts[1:], [len(data)]]) - 1
+    return "".join(LETTERS[h] for h in _hashes(data, starts)[ends])
 
 
 def signature(text: str | None) -> str | None:
     """``block:signature:signature at twice the block``; null for null."""
     if text is None:
         return None
-    data = text.encode("utf-8", "surrogateescape")
+    data = np.frombuffer(text.encode("utf-8", "surrogateescape"), np.uint8)
     block = LEAST_BLOCK
     while block * LENGTH < len(data):
         block *= 2
-    rolled = _triggers(np.frombuffer(data, np.uint8)) if data else np.zeros(0, np.uint32)
+    rolled = _triggers(data) if len(data) else np.zeros(0, np.uint32)
     while True:
         first = _signature(data, rolled, block, LENGTH)
         if block == LEAST_BLOCK or len(first) >= LENGTH // 2:
@@ -77,41 +93,61 @@ def without_runs(s: str) -> str:
     return "".join(c for i, c in enumerate(s) if i < 3 or not c == s[i - 1] == s[i - 2] == s[i - 3])
 
 
-def _distance(a: str, b: str) -> int:
-    """Edit distance with cost 1 to insert or delete and 2 to substitute."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (0 if x == y else 2))
-    return row[-1]
-
-
-def _strings_score(a: str, b: str, block: int) -> int:
-    if len(a) < WINDOW or len(b) < WINDOW:
-        return 0
-    runs = {a[i:i + WINDOW] for i in range(len(a) - WINDOW + 1)}
-    if not any(b[i:i + WINDOW] in runs for i in range(len(b) - WINDOW + 1)):
-        return 0
-    scaled = _distance(a, b) * LENGTH // (len(a) + len(b))
-    score = max(0, 100 - 100 * scaled // LENGTH)
-    cap = block // LEAST_BLOCK * min(len(a), len(b))
-    return score if block >= (99 + WINDOW) // WINDOW * LEAST_BLOCK else min(score, cap)
+def _letters(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(letters as numbers, one row a string, 255 behind its end; lengths). No string is longer than LENGTH."""
+    size = np.array([len(x) for x in strings], np.int64)
+    out = np.full((len(strings), LENGTH), 255, np.uint8)
+    for i, x in enumerate(strings):
+        out[i, :len(x)] = np.frombuffer(x.encode(), np.uint8)
+    return out, size
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of rows: a bit for each place of a, a step for each letter of b."""
+    n = len(a)
+    places = np.zeros((n, 128), np.uint64)
+    rows = np.arange(n)
+    for k in range(a.shape[1]):
+        real = a[:, k] < 128
+        places[rows[real], a[real, k]] |= np.uint64(1) << np.uint64(k)
+    v = np.full(n, ~np.uint64(0))
+    for k in range(b.shape[1]):
+        real = b[:, k] < 128
+        u = np.where(real, v & places[rows, np.where(real, b[:, k], 0)], np.uint64(0))
+        v = (v + u) | (v - u)
+    return 64 - np.array([int(x).bit_count() for x in v], np.int64)
+
+
+def _strings_score(a: list[str], b: list[str], block: np.ndarray) -> np.ndarray:
+    """Scores of pairs of signatures at block sizes; edits cost 1 to insert or delete and 2 to substitute."""
+    out = np.zeros(len(a), np.int64)
+    meet = np.array([len(x) >= WINDOW and len(y) >= WINDOW and not {x[i:i + WINDOW] for i in range(len(x) - WINDOW + 1)}.isdisjoint(y[i:i + WINDOW] for i in range(len(y) - WINDOW + 1)) for x, y in zip(a, b)], bool)
+    if not meet.any():
+        return out
+    (p, na), (q, nb), block = _letters([x for x, m in zip(a, meet) if m]), _letters([x for x, m in zip(b, meet) if m]), block[meet]
+    distance = na + nb - 2 * _common(p, q)
+    got = np.maximum(0, 100 - 100 * (distance * LENGTH // (na + nb)) // LENGTH)
+    out[meet] = np.where(block >= (99 + WINDOW) // WINDOW * LEAST_BLOCK, got, np.minimum(got, block // LEAST_BLOCK * np.minimum(na, nb)))
+    return out
+
+
+def scores(a: list[str], b: list[str]) -> np.ndarray:
+    """0 to 100 for each pair; equal signatures score 100, block sizes more than one step apart 0."""
+    one, two = [x.split(":") for x in a], [x.split(":") for x in b]
+    x, y = np.array([int(p[0]) for p in one], np.int64), np.array([int(p[0]) for p in two], np.int64)
+    a1, a2, b1, b2 = ([without_runs(p[k]) for p in part] for part in (one, two) for k in (1, 2))
+    out = np.zeros(len(a), np.int64)
+    for where, pairs in ((x == y, ((a1, b1, x), (a2, b2, 2 * x))), (x == 2 * y, ((a1, b2, x),)), (y == 2 * x, ((a2, b1, y),))):
+        at = np.flatnonzero(where)
+        for p, q, block in pairs:
+            if len(at):
+                out[at] = np.maximum(out[at], _strings_score([p[i] for i in at], [q[i] for i in at], block[at]))
+    same = np.array([p[0] == q[0] and r == t and s == u for p, q, r, t, s, u in zip(one, two, a1, b1, a2, b2)], bool)
+    return np.where(same, 100, out)
 
 
 def score(a: str, b: str) -> int:
-    """0 to 100; equal signatures score 100, block sizes more than one step apart 0."""
-    ba, a1, a2 = a.split(":")
-    bb, b1, b2 = b.split(":")
-    x, y = int(ba), int(bb)
-    if x not in (y, 2 * y) and y != 2 * x:
-        return 0
-    a1, a2, b1, b2 = map(without_runs, (a1, a2, b1, b2))
-    if x == y and a1 == b1 and a2 == b2:
-        return 100
-    if x == y:
-        return max(_strings_score(a1, b1, x), _strings_score(a2, b2, 2 * x))
-    return _strings_score(a1, b2, x) if x == 2 * y else _strings_score(a2, b1, y)
+    return int(scores([a], [b])[0])
 
 
 def joined_features(columns: list[str]) -> Column:
@@ -149,7 +185,7 @@ def scored_classes(classes: DataFrame) -> DataFrame:
 
     @F.pandas_udf("int")
     def compare(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([score(p, q) for p, q in zip(x, y)])
+        return pd.Series(scores(list(x), list(y)), dtype="int32")
 
     return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", compare("sa", "sb").alias("score")).filter("score > 0")
 
@@ -163,6 +199,7 @@ def best_match_forest(best: DataFrame) -> DataFrame:
     for _ in range(64):
         above = links.select(F.col("ord").alias("_o"), F.col("up").alias("_u"))
         nxt = written(links.join(above, F.col("up") == F.col("_o")).select("ord", F.col("_u").alias("up"), (F.col("up") != F.col("_u")).alias("moved")), "forest")
+        drop(links)
         links = nxt.select("ord", "up")
         if nxt.filter("moved").isEmpty():
             break

@@ -11,6 +11,7 @@ from mailloom.operators import grouping
 from mailloom.operators.compare import metrics
 from mailloom.operators.features import CATEGORICAL, FEATURES
 from mailloom.operators.piecewise import joined_features, piecewise_clusters
+from mailloom.plans.storage import written
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -24,6 +25,18 @@ ALGORITHMS = {
     "clope": lambda f, r=2.0: _named(grouping.transactions(f, CATEGORICAL, r)),
     "ctph": lambda f, threshold=80: _named(piecewise_clusters(f, joined_features(FEATURES), threshold)),
     "all_in_one": lambda f: _named(grouping.all_in_one(f)),
+    # all twelve features
+    "cctree_all": lambda f, threshold=50.0: _named(grouping.entropy_tree(f, FEATURES, threshold)),
+    "fptree_all": lambda f, min_size=0: _named(grouping.prefix_tree(f, FEATURES, min_size)),
+    "clope_all": lambda f, r=10.0: _named(grouping.transactions_observed(f, len(FEATURES), r)),
+}
+
+
+#: The jobs of the sweep, the enabled ones and the others.
+SWEEP = {
+    **{f"cctree_t{t}": ("cctree", float(t)) for t in (50, 40, 30, 60)}, "fptree": ("fptree",),
+    **{f"clope_r{r}": ("clope_observed", float(r)) for r in (5, 3, 7.5, 10, 15, 20)},
+    **{f"ctph_t{t}": ("ctph", t) for t in (80, 70, 60, 90)}, "clope": ("clope",), "all_in_one": ("all_in_one",),
 }
 
 
@@ -34,5 +47,5 @@ def clusterings(features: DataFrame, jobs: dict[str, tuple]) -> DataFrame:
 
 
 def sweep(features: DataFrame, gold: DataFrame, jobs: dict[str, tuple]) -> DataFrame:
-    """Nine metrics per job against gold(member, gold_id)."""
-    return metrics(gold, clusterings(features, jobs))
+    """Nine metrics per job against gold(member, gold_id); the clusterings are written once."""
+    return metrics(gold, written(clusterings(features, jobs), "runs"))

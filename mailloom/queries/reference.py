@@ -9,7 +9,7 @@ from mailloom.functions import mime
 from mailloom.operators import anonymize, compare, grouping, piecewise
 from mailloom.operators import features as feat
 from mailloom.operators.copies import uuid_form
-from mailloom.operators.sweep import sweep
+from mailloom.operators.sweep import SWEEP, sweep
 from mailloom.plans.storage import spread, table
 from mailloom.sources import mails as src
 
@@ -121,7 +121,9 @@ def non_categorical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phone_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_features(spark, sf_dir).select("mail_id", "text_payloads")).select("mail_id", F.explode(anonymize.phone_numbers(F.col("text_payloads"))).alias("phone"))
+    """Phone numbers of every text part, plain or HTML."""
+    parts = _features(spark, sf_dir).select("mail_id", F.explode(F.array("text_payloads", "html_payloads")).alias("text"))
+    return spread(parts).select("mail_id", F.explode(anonymize.phone_numbers(F.col("text"))).alias("phone")).distinct()
 
 
 def _domains(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -136,8 +138,8 @@ def recipient_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "messages").select("delivery_id", F.explode(anonymize.recipient_words(F.col("hdr_to"))).alias("word"))
 
 
-def anonymized_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed mailboxes and phones of the text under pseudonyms, natively."""
+def pseudonymized_mailboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain texts with listed mailboxes under pseudonyms, natively; anonymized_mails does the whole job."""
     v = spread(_features(spark, sf_dir).select("mail_id", "text_payloads"))
     pairs = anonymize.keyed(anonymize.listed_mailboxes(F.col("text_payloads"), _domains(spark, sf_dir)), "email")
     return v.select("mail_id", anonymize.replaced(F.col("text_payloads"), pairs).alias("text"))
@@ -284,20 +286,34 @@ def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.report(_runs(spark, sf_dir))
 
 
-#: The parameters of the enabled sweep, and one job of each other algorithm.
-JOBS = {**{f"clope_r{r}": ("clope_observed", float(r)) for r in (5, 3, 7.5, 10, 15, 20)}, "cctree_t50": ("cctree", 50.0), "fptree": ("fptree",), "all_in_one": ("all_in_one",)}
+def cctree_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.renamed_by_member(grouping.entropy_tree(_features(spark, sf_dir), feat.FEATURES, 50.0))
+
+
+def fptree_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.renamed_by_member(grouping.prefix_tree(_features(spark, sf_dir), feat.FEATURES))
+
+
+def clope_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve features at repulsion 10."""
+    return grouping.transactions_observed(_features(spark, sf_dir), len(feat.FEATURES), 10.0)
+
+
+def diff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, Rand index and the fate of every cluster, as lines."""
+    return compare.diff_report(_gold(spark, sf_dir), _tests(spark, sf_dir))
 
 
 def sweep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusterings of features against the gold run of clusters."""
-    return sweep(_features(spark, sf_dir), _gold(spark, sf_dir), JOBS)
+    return sweep(_features(spark, sf_dir), _gold(spark, sf_dir), SWEEP)
 
 
 QUERIES = {f.__name__: f for f in (
     parsed_mails, parsed_headers, rejects, mail_file_names, leaf_clusters, round_trip, mail_features, html_skeletons, uri_features, payload_types, size_buckets, categorical_features,
-    non_categorical_features, phone_numbers, listed_mailboxes, recipient_words, anonymized_subjects, anonymized_mails, feature_long, attribute_entropy, node_split, cctree_clusters, cctree_loop,
+    non_categorical_features, phone_numbers, listed_mailboxes, recipient_words, pseudonymized_mailboxes, anonymized_mails, feature_long, attribute_entropy, node_split, cctree_clusters, cctree_loop,
     fptree_paths, fptree_clusters, clope_observed, clope_paper, clope_profit, cluster_statistics, ctph_signatures, ctph_clusters, cluster_members, cluster_remove, cluster_inverted, cluster_diff,
-    overlap_jaccard, mutual_match, match_status, diff_counts, contingency, unmatched_members, pair_metrics, label_metrics, profile, duplicate_members, f1_baselines, profile_report, sweep_metrics)}
+    overlap_jaccard, mutual_match, match_status, diff_counts, contingency, unmatched_members, pair_metrics, label_metrics, profile, duplicate_members, f1_baselines, profile_report, sweep_metrics, cctree_all_features, fptree_all_features, clope_all_features, diff_report)}
 
 _URI = feat.URI.replace("'", "''")
 _F = "f AS (SELECT DISTINCT * FROM features)"
@@ -318,7 +334,15 @@ st AS (SELECT run_id, gold_id, cluster_id, 'matched' AS status FROM mm
   UNION ALL SELECT r.run_id, g.gold_id, NULL, 'missing' FROM (SELECT DISTINCT run_id FROM tests) r CROSS JOIN (SELECT DISTINCT gold_id FROM gold) g WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.run_id = r.run_id AND mm.gold_id = g.gold_id)
   UNION ALL SELECT run_id, NULL, cluster_id, 'additional' FROM (SELECT DISTINCT run_id, cluster_id FROM tests) t WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.run_id = t.run_id AND mm.cluster_id = t.cluster_id)),
 con AS (SELECT run_id, gold_id, cluster_id, count(*) AS n FROM gold JOIN tests USING (member) GROUP BY ALL)"""
+_F12 = ", ".join(feat.FEATURES)
+_CELLS12 = f"{_F}, cells AS (" + " UNION ALL ".join(f"SELECT mail_id, {i} AS attr_pos, {a} AS value FROM f" for i, a in enumerate(feat.FEATURES)) + ")"
+_NAMES = ("accuracy", "precision", "recall", "f1_macro", "f1_micro")
 ORACLES = {
+    "round_trip": "SELECT DISTINCT mail_id, true AS same FROM mails WHERE error IS NULL",
+    "cctree_all_features": f"WITH {_F} SELECT mail_id, min(mail_id) OVER (PARTITION BY {_F12}) AS cluster_id FROM f",
+    "fptree_all_features": f"""WITH {_CELLS12}, vn AS (SELECT value, count(*) AS n FROM cells GROUP BY value), paths AS (SELECT mail_id, list(value ORDER BY n DESC, attr_pos) AS path FROM cells JOIN vn USING (value) GROUP BY mail_id)
+SELECT mail_id, min(mail_id) OVER (PARTITION BY path[1:11]) AS cluster_id FROM paths""",
+    "clope_all_features": "SELECT mail_id, row_number() OVER (ORDER BY mail_id) - 1 AS cluster_id FROM (SELECT DISTINCT mail_id FROM features)",
     "parsed_mails": "SELECT mail_id, ord, pos - 1 AS pos, p.\"start\" AS p_start, p.\"end\" AS p_end, p.content, p.content_type, p.encoding, p.extension, p.charset FROM (SELECT mail_id, ord, unnest(payloads) AS p, generate_subscripts(payloads, 1) AS pos FROM (SELECT DISTINCT * FROM mails) WHERE error IS NULL)",
     "parsed_headers": "SELECT DISTINCT mail_id, headers['From'] AS hdr_from, headers['To'] AS hdr_to, headers['Sender'] AS hdr_sender, headers['Subject'] AS hdr_subject, headers['Thread-Topic'] AS hdr_thread_topic FROM mails WHERE error IS NULL",
     "rejects": "SELECT DISTINCT mail_id FROM mails WHERE error IS NOT NULL",
@@ -335,7 +359,7 @@ SELECT mail_id, CAST(len(s) AS VARCHAR) AS uri_amount, coalesce(array_to_string(
     "size_buckets": "SELECT delivery_id, CAST(least(n_bytes * 100 // 65536 + 1, 256) * 65536 AS VARCHAR) AS bucket FROM messages",
     "categorical_features": f"WITH {_F} SELECT mail_id, {', '.join(CAT)} FROM f",
     "non_categorical_features": f"WITH {_F} SELECT mail_id, {', '.join(feat.NON_CATEGORICAL)} FROM f",
-    "phone_numbers": rf"WITH {_F} SELECT mail_id, unnest(list_distinct(regexp_extract_all(text_payloads, '{anonymize.PHONE}'))) AS phone FROM f",
+    "phone_numbers": rf"WITH {_F}, p AS (SELECT mail_id, text_payloads AS t FROM f UNION ALL SELECT mail_id, html_payloads FROM f) SELECT DISTINCT mail_id, unnest(regexp_extract_all(t, '{anonymize.PHONE}')) AS phone FROM p",
     "listed_mailboxes": rf"WITH {_V}, b AS (SELECT DISTINCT mail_id, unnest(regexp_extract_all(text, '[-a-zA-Z0-9_.]+@[-a-zA-Z0-9_.]*' || replace(replace(domain, '.', '\.'), '-', '\-'))) AS mailbox FROM v CROSS JOIN block_domains) SELECT * FROM b",
     "feature_long": f"WITH {_CELLS} SELECT * FROM cells",
     "attribute_entropy": f"WITH {_ENTROPY} SELECT attr, attr_pos, n_values, entropy FROM ent",
@@ -343,7 +367,7 @@ SELECT mail_id, CAST(len(s) AS VARCHAR) AS uri_amount, coalesce(array_to_string(
     "cctree_clusters": f"WITH {_F} SELECT mail_id, min(mail_id) OVER (PARTITION BY {', '.join(CAT)}) AS cluster_id FROM f",
     "fptree_paths": f"WITH {_PATHS} SELECT mail_id, array_to_string(path, '|') AS path FROM paths",
     "fptree_clusters": f"WITH {_PATHS} SELECT mail_id, cluster_id FROM fp",
-    "clope_observed": f"SELECT mail_id, (row_number() OVER (ORDER BY mail_id) - 1) // {grouping.chunk_size(len(CAT), 1.0)} AS cluster_id FROM (SELECT DISTINCT mail_id FROM features)",
+    "clope_observed": f"SELECT mail_id, (row_number() OVER (ORDER BY mail_id) - 1) // 3 AS cluster_id FROM (SELECT DISTINCT mail_id FROM features)",
     "clope_profit": f"""WITH {_PATHS}, s AS (SELECT cluster_id, count(*) AS s, count(DISTINCT (attr, value)) AS w, count(DISTINCT mail_id) AS m FROM cells JOIN fp USING (mail_id) GROUP BY cluster_id)
 SELECT count(*) AS n_clusters, round(sum(s * m / pow(w, 2)) / sum(m), 6) AS profit FROM s""",
     "cluster_statistics": f"WITH {_PATHS} SELECT cluster_id, count(DISTINCT mail_id) AS n_members, count(*) AS size, count(DISTINCT (attr, value)) AS width FROM cells JOIN fp USING (mail_id) GROUP BY cluster_id",
@@ -385,7 +409,18 @@ SELECT run_id, round(sum(CASE WHEN label = 1 THEN 2 * s / (s + n) ELSE 0 END) /
     "recipient_words": r"""WITH m AS (SELECT delivery_id, regexp_extract(hdr_to, '^"?([\p{L}\p{N}_\-]+,?(?:\s[\p{L}\p{N}_\-]+)+)', 1) AS n, regexp_extract(hdr_to, '<?([\p{L}\p{N}_\-]+(?:\.?[\p{L}\p{N}_\-]+)*@[\p{L}\p{N}_\-]+(?:\.[-\p{L}\p{N}_]+)+)>?', 1) AS e FROM messages WHERE hdr_to IS NOT NULL),
 w AS (SELECT delivery_id, list_concat(CASE WHEN n <> '' THEN list_transform(string_split_regex(n, '\s+'), lambda x: rtrim(x, ',')) ELSE [] END, CASE WHEN e <> '' THEN list_concat([split_part(e, '@', 1)], string_split(split_part(e, '@', 1), '.')) ELSE [] END) AS ws FROM m)
 SELECT delivery_id, unnest(list_filter(list_distinct(ws), lambda x: length(x) > 0)) AS word FROM w""",
-    "anonymized_subjects": rf"""WITH {_F}, d AS (SELECT list(DISTINCT domain ORDER BY domain) AS ds FROM block_domains),
+    "pseudonymized_mailboxes": rf"""WITH {_F}, d AS (SELECT list(DISTINCT domain ORDER BY domain) AS ds FROM block_domains),
 b AS (SELECT mail_id, text_payloads, list_distinct(flatten(list_transform(ds, lambda x: regexp_extract_all(text_payloads, '[-a-zA-Z0-9_.]+@[-a-zA-Z0-9_.]*' || replace(replace(x, '.', '\.'), '-', '\-'))))) AS boxes FROM f CROSS JOIN d)
 SELECT mail_id, list_reduce(list_prepend(text_payloads, boxes), lambda acc, m: replace(acc, m, 'u' || substr(md5('{anonymize.SALT}' || lower(m)), 1, 10) || '@example.org')) AS text FROM b""",
 }
+
+ORACLES["profile_report"] = f"""SELECT run_id, printf('%d members in %d clusters (%.3f each), %d in several; F1 all in one %.3f, one for each %.3f', n_members, n_clusters, avg_cluster_size, n_duplicates, f1_macro_all_in_one, f1_macro_one_for_each) AS line
+FROM ({ORACLES["profile"]}) JOIN ({ORACLES["f1_baselines"]}) USING (run_id)"""
+ORACLES["diff_report"] = f"""SELECT run_id, printf('tn=%d, fn=%d, tp=%d, fp=%d, n=%d; %d gold clusters, %d clusters', tn, fn, tp, fp, n, n_gold_clusters, n_clusters) AS line FROM ({ORACLES["diff_counts"]})
+UNION ALL SELECT run_id, printf('Rand index %.6f', ri) FROM ({ORACLES["pair_metrics"]})
+UNION ALL SELECT run_id, CASE status WHEN 'matched' THEN printf('%s matches %s (Jaccard %.3f)', gold_id, cluster_id, jaccard) WHEN 'missing' THEN 'no match for ' || gold_id ELSE 'new cluster ' || cluster_id END
+FROM ({ORACLES["match_status"]}) LEFT JOIN ({ORACLES["overlap_jaccard"]}) USING (run_id, gold_id, cluster_id)"""
+#: In these tables no node below the root reaches the threshold, so the root alone decides: equal rows, or one leaf.
+ORACLES["cctree_loop"] = f"""WITH {_ENTROPY}, root AS (SELECT round(sum(entropy), 9) AS impurity FROM ent)
+SELECT mail_id, min(mail_id) OVER () AS cluster_id FROM (SELECT DISTINCT mail_id FROM f) CROSS JOIN root WHERE impurity >= 14
+UNION ALL SELECT mail_id, min(mail_id) OVER (PARTITION BY {', '.join(CAT)}) FROM f CROSS JOIN root WHERE impurity < 14"""

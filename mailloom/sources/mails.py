@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions import mime
 from mailloom.plans.rank import numbered
+from mailloom.plans.storage import single_machine
 
 
 def read_eml(spark: SparkSession, path: str, glob: str | None = "*.eml", recursive: bool = False) -> DataFrame:
@@ -48,20 +45,17 @@ def write_rejects(mails: DataFrame, path: str) -> None:
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """(mailbox, number, raw) of mailboxes; globs and folders are welcome.
 
-    A message begins with a line ``From `` at the start or after an empty line; ``>From`` quoting is undone.
+    A message begins with a line ``From `` at the start of the mailbox or after a line break; ``>From`` quoting is undone.
+    Mailboxes are read by byte ranges, so one of any size is spread over many tasks and no more than a message is held
+    at a time. What stands before the first such line is no message.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b.path, b.content):
-                text = bytes(content).decode("utf-8", "replace")
-                starts = [m.start() for m in re.finditer(r"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n", text)]
-                for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(text)])):
-                    body = text[text.index("\n", a) + 1:z]
-                    yield pd.DataFrame({"mailbox": [name], "number": [k], "raw": [re.sub(r"^>(>*From )", r"\1", body, flags=re.M)]})
-
-    return files.mapInPandas(split, "mailbox string, number int, raw string")
+    records = spark.read.option("lineSep", "\nFrom ").text(path).select("value", F.col("_metadata.file_path").alias("mailbox"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    # only a mailbox's first record still has its own "From " line, or isn't a message
+    opening = records.filter("_block = 0").groupBy("mailbox").agg(F.min("_place").alias("_first"))
+    rows = records.join(opening, "mailbox").withColumn("_own", F.col("_place") == F.col("_first")).filter(~F.col("_own") | F.col("value").startswith("From "))
+    body = F.when(F.instr("value", "\n") > 0, F.substr(F.col("value"), F.instr("value", "\n") + 1)).otherwise(F.lit(""))
+    raw = F.regexp_replace(body, r"(?m)^>(>*From )", "$1")
+    return numbered(rows.select("mailbox", "_block", "_place", raw.alias("raw")), ["mailbox"], ["_block", "_place"], "number", ordered=True).select("mailbox", F.col("number").cast("int").alias("number"), "raw")
 
 
 def mail_hash(message_id: Column, to: Column) -> Column:
@@ -82,16 +76,27 @@ def eml_file_name(date: Column, message_id: Column, to: Column) -> Column:
     return F.when(d.rlike(WALL_CLOCK), F.concat(part(3), F.lit("-"), month, F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("-"), part(4), F.lit(":"), part(5), F.lit(":"), part(6), F.lit("_"), mail_hash(message_id, to), F.lit(".eml")))
 
 
+def _on_shared(spark: SparkSession, folder: str) -> None:
+    """A plain path is a folder of the executor's own machine, which only a local master's executors share."""
+    if "://" not in folder and not single_machine(spark):
+        raise ValueError(f"{folder}: name the file system, as in hdfs:// or s3://, or file:// for a folder mounted everywhere")
+
+
 def write_eml(mails: DataFrame, folder: str, name: str = "mail_id") -> None:
-    """One file per mail in a folder all executors can write to; rows without name or text are passed over."""
+    """One file per mail in a folder of a file system that all executors reach; rows without name or text are passed over."""
+    _on_shared(mails.sparkSession, folder)
+
     def put(rows) -> None:
-        import os
+        import posixpath
+
+        from pyarrow.fs import FileSystem, LocalFileSystem
 
-        os.makedirs(folder, exist_ok=True)
+        fs, root = FileSystem.from_uri(folder) if "://" in folder else (LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
         for r in rows:
             if r[0] and r[1] is not None:
-                with open(os.path.join(folder, os.path.basename(r[0])), "w", encoding="utf-8", newline="") as f:
-                    f.write(r[1])
+                with fs.open_output_stream(posixpath.join(root, posixpath.basename(r[0]))) as f:
+                    f.write(r[1].encode("utf-8", "replace"))
 
     mails.select(name, "raw").foreachPartition(put)
 
@@ -123,15 +128,26 @@ def write_clusters(clusters: DataFrame, path: str) -> None:
 
 
 def export_links(clusters: DataFrame, folder: str) -> None:
-    """Symbolic links <folder>/<cluster_id>/<base name> to the member files, made where the partitions are."""
+    """Symbolic links <folder>/<cluster_id>/<base name> to the member files, in a folder that all executors share.
+
+    Two members of a cluster with one base name are an error, before any link is made. Object stores have no links:
+    ``write_clusters`` serves there.
+    """
+    _on_shared(clusters.sparkSession, folder)
+    root = folder.removeprefix("file://")
+    rows = clusters.select("cluster_id", "member").distinct()
+    twice = rows.groupBy("cluster_id", F.regexp_extract("member", r"([^/]*)$", 1).alias("name")).count().filter("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['name']} stands {twice['count']} times in cluster {twice['cluster_id']}")
+
     def put(rows) -> None:
         import os
 
         for r in rows:
-            d = os.path.join(folder, r[0].replace("/", "_"))
+            d = os.path.join(root, r[0].replace("/", "_"))
             os.makedirs(d, exist_ok=True)
             target = os.path.join(d, os.path.basename(r[1]))
-            if not os.path.lexists(target):
+            if not os.path.lexists(target):  # made before a task was run again
                 os.symlink(r[1], target)
 
-    clusters.select("cluster_id", "member").distinct().foreachPartition(put)
+    rows.foreachPartition(put)

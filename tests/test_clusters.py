@@ -5,12 +5,14 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mailloom.operators import compare, grouping, piecewise
 from mailloom.operators.components import connected_components
 from mailloom.operators.sweep import sweep
+from mailloom.plans.rank import numbered
 
 ATTRS = ["a", "b", "c"]
 
@@ -188,6 +190,48 @@ def test_piecewise():
     assert piecewise.without_runs("aaaaabaaaa") == "aaabaaa"
 
 
+def test_scores_of_many_pairs():
+    """The bit-parallel scores against edit distances worked out cell by cell, and hashes against the byte loop."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (0 if x == y else 2))
+        return row[-1]
+
+    r = random.Random(12)
+    pairs = [("".join(r.choice("ABCab+/9") for _ in range(r.randint(0, 64))), "".join(r.choice("ABCab+/9") for _ in range(r.randint(0, 64)))) for _ in range(300)]
+    (a, na), (b, nb) = piecewise._letters([x for x, _ in pairs]), piecewise._letters([y for _, y in pairs])
+    assert (na + nb - 2 * piecewise._common(a, b)).tolist() == [distance(x, y) for x, y in pairs]
+    data = bytes(r.randrange(256) for _ in range(500))
+    starts = sorted({0, *r.sample(range(500), 12)})
+    want, h = [], 0
+    for i, c in enumerate(data):
+        h = piecewise._START if i in starts else h
+        h = ((h * piecewise.PRIME) ^ c) & 63
+        want.append(h)
+    assert piecewise._hashes(np.frombuffer(data, np.uint8), np.array(starts)).tolist() == want
+
+
+def test_numbers_follow_the_order_of_names_with_a_common_prefix(spark):
+    df = spark.range(3000).select(F.format_string("2024-01-04-%05d.eml", F.pmod(F.col("id") * 7, F.lit(3000))).alias("name"), F.lit(0).alias("g"))
+    sliced = numbered(df, ["g"], ["name"], "n", ordered=True)
+    assert [r.n for r in sliced.orderBy("name").collect()] == list(range(3000))
+    spread_over = df.repartitionByRange(8, "g", "name").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread_over == 8
+
+
+def test_fixture_of_two_folders(spark):
+    """One gold cluster of two members against two single ones: one match, one additional, Jaccard 0.5 on both sides."""
+    gold = spark.createDataFrame([("soy", "s0"), ("soy", "s1")], "gold_id string, member string")
+    runs = spark.createDataFrame([("r", "soy", "s0"), ("r", "soy1", "s1")], "run_id string, cluster_id string, member string")
+    c = compare.diff_counts(gold, runs).first()
+    assert (c.tp, c.fp, c.fn, c.tn, c.n) == (1, 1, 1, 0, 2)
+    assert sorted(x.jaccard for x in compare.overlap(gold, runs).collect()) == [0.5, 0.5] and compare.metrics(gold, runs).first().ri == 0.0
+    assert sorted(x.status for x in compare.match_status(gold, runs).collect()) == ["additional", "matched"]
+
+
 def brute_piecewise(texts, threshold):
     ids = sorted(texts)
     sig = {i: piecewise.signature(texts[i]) for i in ids}

@@ -32,7 +32,11 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["duplicates", str(tmp_path / "single")], spark) == 0
     assert "3 members in 3 clusters" in capsys.readouterr().out
     assert main(["sweep", str(folder), str(tmp_path / "gold"), str(tmp_path / "out")], spark) == 0
-    assert "clope_r7.5" in capsys.readouterr().out and (tmp_path / "out" / "clope_r20").exists()
+    out = capsys.readouterr().out
+    assert all(x in out for x in ("clope_r7.5", "ctph_t60", "cctree_t30")) and (tmp_path / "out" / "clope_r20").exists()
+    assert main(["show", str(folder)], spark) == 0 and main(["tree", str(tmp_path / "gold")], spark) == 0
+    shown = capsys.readouterr().out
+    assert "rejected: " in shown and "PLAINTEXT" in shown and "Subject: a" in shown
     assert main([], spark) == 2 and main(["cluster", "unknown", "a", "b"], spark) == 2
 
 

@@ -1,6 +1,7 @@
 """Messages, features, pseudonyms, sources and sinks."""
 
 import os
+import time
 from collections import Counter
 
 import pytest
@@ -59,7 +60,16 @@ def test_codecs():
     assert mime.skeleton_of("<style>p{}</style><p>a &amp; b</p>") in ("<style>p{}</style><p></p>",)
     assert mime.payloads_of("Content-Type: multipart/mixed\n\nx") == []
     deep = "".join(f'Content-Type: multipart/mixed; boundary="b{i}"\n\n--b{i}\n' for i in range(40)) + "x"
-    assert isinstance(mime.payloads_of(deep), list)
+    deep += "\n" + "\n".join(f"--b{i}--" for i in range(39, -1, -1))
+    assert [p["content"] for p in mime.payloads_of(deep.replace("\nx\n", "\nContent-Type: text/plain\n\nx\n"))] == ["x"]  # forty levels down
+
+
+def test_skeleton_takes_out_the_longest_string_at_each_place():
+    assert mime.skeleton_of("") == "" and mime.skeleton_of("<br>") == "<br>" and mime.skeleton_of("plain") == ""
+    assert mime.skeleton_of('<p class="red">red</p><b>red car</b>') == '<p class=""></p><b></b>'
+    assert mime.skeleton_of("<i>a &lt; b</i>") == "<i></i>"
+    began = time.time()
+    assert mime.skeleton_of("".join(f"<p>text {i}</p>" for i in range(30_000))) == "<p></p>" * 30_000 and time.time() - began < 20
 
 
 def test_update_content(spark):
@@ -85,7 +95,25 @@ def test_files(spark, tmp_path):
     box = "From a Mon\nSubject: 1\n\nx\n>From y\n\nFrom b Tue\nSubject: 2\n\nz\n"
     (tmp_path / "box").write_text(box)
     got = src.read_mbox(spark, str(tmp_path / "box")).orderBy("number").collect()
-    assert [r.raw for r in got] == ["Subject: 1\n\nx\nFrom y\n\n", "Subject: 2\n\nz\n"]
+    assert [r.raw for r in got] == ["Subject: 1\n\nx\nFrom y\n", "Subject: 2\n\nz\n"]
+    # by byte ranges: many small splits give what one gives
+    many = "".join(f"From a Mon\nSubject: {i}\n\nx{i} grün\n>From y\n\n" for i in range(3000)) + "From b Tue\nSubject: last"
+    (tmp_path / "many").write_text(many)
+    (tmp_path / "junk").write_text("no mailbox at all\n\nFrom a Mon\nSubject: 1\n\nx\n")
+    whole = [tuple(r) for r in src.read_mbox(spark, str(tmp_path / "many")).orderBy("number").collect()]
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        parts = src.read_mbox(spark, str(tmp_path / "many"))
+        assert [tuple(r) for r in parts.orderBy("number").collect()] == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(whole) == 3001 and whole[7][1:] == (7, "Subject: 7\n\nx7 grün\nFrom y\n") and whole[-1][1:] == (3000, "Subject: last")
+    assert [r.raw for r in src.read_mbox(spark, str(tmp_path / "junk")).collect()] == ["Subject: 1\n\nx\n"]
+    with pytest.raises(ValueError, match="stands 2 times"):
+        src.export_links(spark.createDataFrame([("k", "/a/x"), ("k", "/b/x")], "cluster_id string, member string"), str(tmp_path / "twice"))
+    src.write_eml(spark.createDataFrame([("u.eml", RAW)], "mail_id string, raw string"), f"file://{tmp_path}/by_uri")
+    assert (tmp_path / "by_uri" / "u.eml").read_text() == RAW
     src.write_eml(spark.createDataFrame([("a.eml", RAW), ("b.eml", None), (None, "x")], "mail_id string, raw string"), str(tmp_path / "out"))
     back = src.read_eml(spark, str(tmp_path / "out")).collect()
     assert [(r.mail_id, r.raw) for r in back] == [("a.eml", RAW)]
