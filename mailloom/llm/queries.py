@@ -119,10 +119,18 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_clean": p4_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
 #: The similarity join by counting common shingles of all pairs, which small tables allow.
+_SETS = r"""w AS (SELECT mail_id, regexp_extract_all(lower(subject || ' ' || text_payloads || ' ' || html_skeletons), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT * FROM features)),
+g AS (SELECT DISTINCT mail_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20)"""
+_PAIRS = f"""{_SETS}, n AS (SELECT mail_id, count(*) AS n FROM g GROUP BY mail_id),
+o AS (SELECT a.mail_id AS a, b.mail_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.mail_id < b.mail_id GROUP BY ALL),
+pairs AS (SELECT a, b, o / (x.n + y.n - o) AS s FROM o JOIN n x ON x.mail_id = a JOIN n y ON y.mail_id = b WHERE o >= 0.6 * (x.n + y.n - o))"""
 ORACLES: dict[str, str] = {
-    "p6_found": r"""WITH w AS (SELECT mail_id, regexp_extract_all(lower(subject || ' ' || text_payloads || ' ' || html_skeletons), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT * FROM features)),
-g AS (SELECT DISTINCT mail_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
-n AS (SELECT mail_id, count(*) AS n FROM g GROUP BY mail_id),
-o AS (SELECT a.mail_id AS a, b.mail_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.mail_id < b.mail_id GROUP BY ALL)
-SELECT a AS mail_id_a, b AS mail_id_b FROM o JOIN n x ON x.mail_id = a JOIN n y ON y.mail_id = b WHERE o >= 0.6 * (x.n + y.n - o)""",
+    "p6_found": f"WITH {_PAIRS} SELECT a AS mail_id_a, b AS mail_id_b FROM pairs",
+    "p6_groups": f"""WITH RECURSIVE {_PAIRS}, edges AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
+reach AS (SELECT mail_id AS a, mail_id AS b FROM n UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+grp AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a), cls AS (SELECT mail_id, least(mail_id, coalesce(min(b), mail_id)) AS class_id FROM n LEFT JOIN edges ON a = mail_id AND s = 1 GROUP BY mail_id)
+SELECT c.mail_id, c.class_id, group_id, count(DISTINCT o.class_id) FILTER (WHERE o.class_id <> c.class_id) AS n_links
+FROM cls c JOIN grp ON grp.a = c.mail_id LEFT JOIN edges e ON e.a = c.mail_id LEFT JOIN cls o ON o.mail_id = e.b GROUP BY ALL""",
+    # sizes are far from the capacity on either side, so letters tell what tokens do
+    "p8_found": "SELECT DISTINCT doc_id FROM documents CROSS JOIN pack_limits WHERE length(text) > 4 * capacity_tokens",
 }

@@ -95,12 +95,15 @@ def similar_rows(df: DataFrame, key: str, text: str, n: int = 5, threshold: floa
 def similar_groups(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, least_words: int = 0) -> DataFrame:
     """(key, class_id, group_id, n_links): one row per text that takes part.
 
-    class_id: texts with equal shingles; group_id: classes connected by similar pairs, named by the
-    least class; n_links: similar classes besides its own. No pairs of equal texts are made.
+    class_id: texts with equal shingles; group_id: classes connected by similar pairs; both are named by
+    their least key. n_links: similar classes besides its own. No pairs of equal texts are made.
     """
     classes, members = shingle_classes(df, key, text, n, least_words)
+    members = written(members, "members")
     pairs = written(similar_classes(classes, threshold), "pairs")
     links = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     groups = connected_components(pairs, "a", "b").select(F.col("node").alias("id"), "component")
-    return (members.join(groups, "id", "left").join(links, "id", "left")
-        .select("key", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = written(members.groupBy("id").agg(F.min("key").alias("class_id")).join(groups, "id", "left").join(links, "id", "left"), "named")
+    tops = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("class_id").alias("top"))
+    named = named.join(tops, "component", "left").select("id", "class_id", F.coalesce("top", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(named, "id").select("key", "class_id", "group_id", "n_links")
