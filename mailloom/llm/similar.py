@@ -35,8 +35,8 @@ def shingles(words: Column, n: int) -> Column:
 
 def shingle_classes(df: DataFrame, key: str, text: str, n: int, least_words: int) -> tuple[DataFrame, DataFrame]:
     """(classes: id, grams, n), (members: id, key). Rows with fewer words, null texts and null keys take no part."""
-    # a shuffle of the texts alone: small inputs come as one split, and words are computed once
-    texts = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull()), "key")
+    # small inputs come as one split: then a shuffle of the texts alone
+    texts = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull()))
     words = texts.select("key", word_list(F.col("text")).alias("w")).filter(F.size("w") >= max(n, least_words))
     sets = words.select("key", F.sort_array(shingles(F.col("w"), n)).alias("grams"))
     sets = written(sets.withColumn("sig", F.sha2(F.array_join(F.col("grams").cast("array<string>"), ","), 256)), "sets")
