@@ -6,6 +6,7 @@ mail_id counts once. Every clusterer returns (mail_id, cluster_id).
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -135,102 +136,201 @@ def items(df: DataFrame, attributes: list[str]) -> Column:
     return F.array(*[F.xxhash64(F.lit(a), F.coalesce(F.col(a), F.lit(""))) for a in attributes])
 
 
-def settled(sets: list[tuple[tuple, int, int]], r: float, most: int) -> list[int]:
+def settled(sets: list[tuple[tuple, int, int]], r: float, most: int, few: int = 64, broad: int = 512) -> list[int]:
     """The cluster of each (distinct items, number of items, number of mails), in order, when no set moves any more.
 
-    Gains depend on a cluster's size, width and mails and on the number of shared items only. Clusters alike
-    in the former are one kind: gains are worked out per kind and number of shared items, then looked up.
+    Gains depend on a cluster's size, width and mails and on the number of shared items only. Sets with the same
+    common items and numbers are one class. A cluster that changes tells its gain to the classes that it is good
+    for, each with a heap of the gains it was told; clusters with a set's rare items are looked up. A cluster that is
+    good for more than ``broad`` classes is tried with every set instead, and all clusters at once if there are
+    more than ``few`` such. A set is passed over while its class is told nothing and its cluster stays as it is.
     """
     often: dict[int, int] = {}
     for its, _, _ in sets:
         for x in its:
             often[x] = often.get(x, 0) + 1
     have: dict[int, dict[int, int]] = {x: {} for x in often}  # item -> cluster -> how often
+    bit = {x: j for j, x in enumerate(x for x, n in often.items() if n > len(sets) / 512 or r < 0)}  # the common items
     # Items of more than one in 32 sets have a row of marks over all clusters: at most 32 rows an attribute
     row = {x: j for j, x in enumerate(x for x, n in often.items() if n > len(sets) / 32)}
-    step = max((len(its) for its, _, _ in sets), default=0) + 1
+    overlap = np.arange(1, max((len(its) for its, _, _ in sets), default=0) + 1)
+    with np.errstate(all="ignore"):
+        power = np.arange(len(often) + len(overlap) + 1, dtype=np.float64) ** r
+    powers = power.tolist()
+
+    number: dict[tuple, int] = {}  # (common items as bits, form) -> class
+    forms: dict[tuple, int] = {}  # (number of items, of mails, of distinct items) -> number
+    of = [number.setdefault((sum(1 << bit[x] for x in its if x in bit), (length, n, len(its))), len(number)) for its, length, n in sets]
+    form = [forms.setdefault(f, len(forms)) for _, f in number]
+    common = [own for own, _ in number]
+    rare = [[x for x in its if x not in bit and often[x] > 1] for its, _, _ in sets]
+    with_bit: list = [[] for _ in bit]  # common item -> its classes
+    for q, own in enumerate(common):
+        while own:
+            with_bit[(own & -own).bit_length() - 1].append(q)
+            own &= own - 1
+    with_bit = [np.array(x, np.int64) for x in with_bit]
+    least = [length * n * n / distinct ** r + 1e-12 for length, n, distinct in forms]  # what a set gains on its own
+    told: list[list] = [[] for _ in number]  # heaps of (-gain, cluster, when)
+    most_told, last_told = [256] * len(number), [0] * len(number)
+
     room = 256
-    marks = np.zeros((len(row), room), np.uint8)
-    at_kind = np.zeros(room, np.int64)  # a cluster's kind times step
-    state = [(0, 0, 0)] * room  # size, width, mails
-    kinds, number, free = np.zeros((3, 64)), {}, []
-    alive: list[int] = []  # clusters of a kind
-    where, used = [-1] * len(sets), 0
-    overlap = np.arange(1, step)
+    marks, table = np.zeros((len(row), room), np.uint8), np.zeros((3, room), np.int64)
+    state: list[tuple] = []  # size, width, mails of a cluster
+    mask: list[int] = []  # its common items
+    changed: list[int] = []
+    wide: set[int] = set()  # clusters that are good for many classes
+    now = wide_changed = 0
+    where, stayed = [-1] * len(sets), [-1] * len(sets)
+    shares: dict[int, tuple] = {}  # common items -> (how many each class shares, {number shared: {form: classes}})
+    good: dict[tuple, list] = {}  # state -> [(number shared, form, gain)]
+    kept_shares = kept_good = 0
+
+    def good_for(s: tuple) -> list[tuple]:
+        """The numbers of shared items and the forms for which a cluster gains more than a set on its own."""
+        nonlocal kept_good
+        if s not in good:
+            length, n, distinct = np.array(list(forms), np.int64).T[:, :, None]
+            size, width, mails = s
+            with np.errstate(all="ignore"):
+                gain = (size + n * length) * (mails + n) / power[np.maximum(width + distinct - overlap, 0)] - size * mails / power[width]
+            f, o = np.nonzero((gain > np.array(least)[:, None]) & (overlap <= np.minimum(distinct, width)))
+            if kept_good > 1_000_000:
+                good.clear()
+                kept_good = 0
+            good[s] = list(zip((o + 1).tolist(), f.tolist(), gain[f, o].tolist()))
+            kept_good += 1 + len(f)
+        return good[s]
+
+    def sharing(own: int, o: int, f: int) -> list[int]:
+        """The classes of a form that share o of these common items."""
+        nonlocal kept_shares
+        if own not in shares:
+            if kept_shares > 200_000_000:
+                shares.clear()
+                kept_shares = 0
+            classes = np.concatenate([with_bit[j] for j in range(own.bit_length()) if own >> j & 1])
+            shares[own] = np.bincount(classes, minlength=len(told)).astype(np.int16), {}
+            kept_shares += 2 * len(told)
+        count, groups = shares[own]
+        if o not in groups:
+            groups[o] = {}
+            for q in np.flatnonzero(count == o).tolist():
+                groups[o].setdefault(form[q], []).append(q)
+            kept_shares += 100 * sum(map(len, groups[o].values()))
+        return groups[o].get(f, [])
+
+    def tell(k: int) -> None:
+        nonlocal now, wide_changed
+        now += 1
+        changed[k] = now
+        gains = [(g, qs) for o, f, g in good_for(state[k]) if (qs := sharing(mask[k], o, f))] if mask[k] else []
+        if sum(len(qs) for _, qs in gains) > broad:
+            wide.add(k)
+            wide_changed = now
+            return
+        wide.discard(k)
+        for g, qs in gains:
+            entry = -g, k, now
+            for q in qs:
+                heapq.heappush(told[q], entry)
+                last_told[q] = now
 
     def move(k: int, its: tuple, length: int, n: int) -> None:
-        nonlocal kinds
-        size, width, count = old = state[k]
+        size, width, mails = state[k]
         for x in its:
             c = have[x]
             left = c.get(k, 0) + n
+            if bool(left) != (k in c):  # the item comes or goes
+                width += 1 if left else -1
+                if x in row:
+                    marks[row[x], k] ^= 1
+                if x in bit:
+                    mask[k] ^= 1 << bit[x]
             if left:
-                if k not in c:
-                    width += 1
-                    if x in row:
-                        marks[row[x], k] = 1
                 c[k] = left
             else:
-                width -= 1
                 del c[k]
-                if x in row:
-                    marks[row[x], k] = 0
-        state[k] = new = size + n * length, width, count + n
-        if old[2]:
-            j = number[old]
-            alive[j] -= 1
-            if not alive[j]:
-                free.append(j)
-                del number[old]
-        if new[2]:
-            j = number.get(new)
-            if j is None:
-                if free:
-                    j = free.pop()
-                else:
-                    j = len(alive)
-                    alive.append(0)
-                    if j == kinds.shape[1]:
-                        kinds = np.concatenate([kinds, np.zeros_like(kinds)], axis=1)
-                kinds[:, j] = new
-                number[new] = j
-            alive[j] += 1
-            at_kind[k] = j * step
+        state[k] = table[:, k] = size + n * length, width, mails + n
+        tell(k)
+
+    def best(q: int, old: int, gain: float, at: int) -> tuple[float, int]:
+        """The greatest gain a class was told and its cluster, if better than the one given; the first of equal ones."""
+        heap, own = told[q], None
+        while heap:
+            g, k, when = heap[0]
+            if changed[k] != when or k in wide:
+                heapq.heappop(heap)
+            elif k == old:
+                own = heapq.heappop(heap)
+            else:
+                gain, at = (-g, k) if (g, k) < (-gain, at) else (gain, at)
+                break
+        if own:
+            heapq.heappush(heap, own)
+        if len(heap) > most_told[q]:
+            heap[:] = {e for e in heap if changed[e[1]] == e[2] and e[1] not in wide}
+            heapq.heapify(heap)
+            most_told[q] = 2 * len(heap) + 256
+        return gain, at
+
+    def best_of_all(its: tuple, length: int, n: int, old: int, gain: float, at: int) -> tuple[float, int]:
+        shared = np.zeros(len(state), np.uint16)
+        for x in its:
+            if x in row:
+                shared += marks[row[x], : len(state)]
+            elif c := have[x]:
+                shared[np.fromiter(c, np.int64, len(c))] += 1
+        if old >= 0:
+            shared[old] = 0
+        ks = np.flatnonzero(shared)
+        if len(ks):
+            s, w, m = table[:, ks]
+            got = (s + n * length) * (m + n) / power[w + len(its) - shared[ks]] - s * m / power[w]
+            j = int(got.argmax())
+            if (-got[j], ks[j]) < (-gain, at):
+                return float(got[j]), int(ks[j])
+        return gain, at
 
     for _ in range(most):
         moved = False
         for i, (its, length, n) in enumerate(sets):
-            old = where[i]
+            old, q, since = where[i], of[i], stayed[i]
+            if since >= last_told[q] and since >= wide_changed and not rare[i] and since >= changed[old]:
+                continue
+            gain, at = -math.inf, -1
+            if old >= 0 and state[old][2] > n:  # to stay: the gain over its cluster without it
+                size, width, mails = state[old]
+                o = sum(have[x][old] > n for x in its)
+                if o:
+                    gain, at = size * mails / powers[width] - (size - n * length) * (mails - n) / powers[width - len(its) + o], old
+            gain, at = best(q, old, gain, at)
+            if len(wide) > few:
+                gain, at = best_of_all(its, length, n, old, gain, at)
+            else:
+                for k in {*wide, *(k for x in rare[i] for k in have[x])} if wide or rare[i] else ():
+                    o = (common[q] & mask[k]).bit_count() + sum(k in have[x] for x in rare[i])
+                    if k != old and o:
+                        size, width, mails = state[k]
+                        g = (size + n * length) * (mails + n) / powers[width + len(its) - o] - size * mails / powers[width]
+                        if (-g, k) < (-gain, at):
+                            gain, at = g, k
+            if not gain > least[form[q]]:  # a cluster of its own: the old place if that is empty without it
+                at = old if old >= 0 and state[old][2] == n else len(state)
+            if at == old:
+                stayed[i] = now
+                continue
             if old >= 0:
                 move(old, its, length, -n)
-            at, best = -1, length * n * n / len(its) ** r
-            if used:
-                shared = np.zeros(used, np.uint16)
-                for x in its:
-                    if x in row:
-                        shared += marks[row[x], :used]
-                    elif c := have[x]:
-                        shared[np.fromiter(c, np.int64, len(c))] += 1
-                gain = np.full((len(alive), step), -np.inf)  # without shared items: never
-                s, w, m = kinds[:, : len(alive), None]
-                with np.errstate(all="ignore"):  # no cluster shares more items than there are
-                    gain[:, 1:] = (s + n * length) * (m + n) / (w + len(its) - overlap) ** r - s * m / w ** r
-                got = gain.ravel()[at_kind[:used] + shared]
-                k = int(got.argmax())
-                if got[k] > best + 1e-12:
-                    at = k
-            if at < 0:  # a cluster of its own: the old place if that is empty now
-                if old >= 0 and not state[old][2]:
-                    at = old
-                else:
-                    at, used = used, used + 1
-                    if used == room:
-                        room *= 2
-                        marks, at_kind = (np.concatenate([v, np.zeros_like(v)], axis=-1) for v in (marks, at_kind))
-                        state += [(0, 0, 0)] * (room - len(state))
+            if at == len(state):
+                if at == room:
+                    room *= 2
+                    marks, table = (np.concatenate([v, np.zeros_like(v)], axis=-1) for v in (marks, table))
+                state.append((0, 0, 0))
+                mask.append(0)
+                changed.append(0)
             move(at, its, length, n)
-            where[i] = at
-            moved |= at != old
+            where[i], stayed[i], moved = at, -1, True
         if not moved:
             return where
     raise RuntimeError(f"transactions did not settle in {most} passes")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -173,6 +174,60 @@ def test_transactions_settle(spark):
         grouping.transactions(table(spark, rows), ATTRS, 1.5, most=5).collect()
 
 
+def plain_settled(sets, r):
+    """As grouping.settled: in every pass, every set is tried with every cluster that shares an item."""
+    have, state, where = defaultdict(Counter), [], [-1] * len(sets)
+
+    def put(k, its, length, n):
+        for x in its:
+            before = k in have[x]
+            have[x][k] += n
+            if not have[x][k]:
+                del have[x][k]
+            state[k][1] += (k in have[x]) - before
+        state[k][0] += n * length
+        state[k][2] += n
+
+    while True:
+        moved = False
+        for i, (its, length, n) in enumerate(sets):
+            old = where[i]
+            if old >= 0:
+                put(old, its, length, -n)
+            gains = {k: (s + n * length) * (m + n) / float(w + len(its) - o) ** r - s * m / float(w) ** r for k, o in Counter(k for x in its for k in have[x]).items() for s, w, m in [state[k]]}
+            at = min(gains, key=lambda k: (-gains[k], k), default=-1)
+            if at < 0 or not gains[at] > length * n * n / len(its) ** r + 1e-12:
+                at = old if old >= 0 and not state[old][2] else len(state)
+            if at == len(state):
+                state.append([0, 0, 0])
+            put(at, its, length, n)
+            where[i], moved = at, moved or at != old
+        if not moved:
+            return where
+
+
+def mail_like_sets(n, seed):
+    """Sets of six items, most with a rare one, in random order."""
+    r = random.Random(seed)
+    often = Counter(tuple([("t", r.choice("aaaabbbccd")), ("u", int(r.expovariate(0.5))), ("s", r.choice("pppqqr")), ("z", int(r.paretovariate(1.5))), ("e", r.choice([""] * 9 + list("xyz"))), ("h", r.choice(["", r.randrange(n // 2), r.randrange(10 ** 9)]))]) for _ in range(n))
+    return [(its, 6, k) for its, k in often.items()]
+
+
+def test_transactions_settle_as_plainly_but_sooner(spark):
+    for r in (1.2, 2.0, 2.6):
+        sets = mail_like_sets(700, 3)
+        want = plain_settled(sets, r)
+        assert grouping.settled(sets, r, 1000) == want
+        for few, broad in ((0, 0), (10 ** 9, 0), (2, 3)):  # all clusters at once, wide ones by name, both
+            assert grouping.settled(sets, r, 1000, few, broad) == want
+    sets = mail_like_sets(4000, 4)
+    began = time.process_time()
+    want = plain_settled(sets, 2.0)
+    plain = time.process_time() - began
+    assert grouping.settled(sets, 2.0, 1000) == want
+    assert time.process_time() - began - plain < plain / 20
+
+
 def test_transactions_are_one_block_at_any_size(spark):
     df = spark.range(20_001).select(F.format_string("m%05d", "id").alias("mail_id"), F.lit("x").alias("a"), F.lit("y").alias("b"), F.col("id").cast("string").alias("c"))
     assert len(sets(grouping.transactions(df, ATTRS, 1.0))) == 1
