@@ -167,14 +167,14 @@ def pair_metrics(table: DataFrame) -> DataFrame:
     )
 
 
-def label_metrics(gold: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, accuracy, precision, recall, f1_macro, f1_micro), rounded to 6 places.
+def label_metrics(gold: DataFrame, runs: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """(run_id, accuracy, precision, recall, f1_macro, f1_micro), rounded to 6 places. ``table``: their contingency, if known.
 
     A matched pair shares a label, every other cluster has its own; macro means run over the labels
     that occur on either side of the aligned members, and an empty denominator counts as 0.
     """
     matched = mutual_match(written(overlap(gold, runs), "overlap")).select("run_id", F.col("gold_id").alias("_g"), F.col("cluster_id").alias("_c"))
-    table = contingency(gold, runs)
+    table = contingency(gold, runs) if table is None else table
     name = matched.select("run_id", F.col("_c").alias("cluster_id"), F.col("_g").alias("label"))
     t = table.join(name, ["run_id", "cluster_id"], "left").select("run_id", F.concat(F.lit("g"), "gold_id").alias("truth"), F.coalesce(F.concat(F.lit("g"), "label"), F.concat(F.lit("c"), "cluster_id")).alias("guess"), "n")
     cells = t.select("run_id", F.col("truth").alias("label"), F.col("n").alias("gold_n"), F.lit(0).alias("test_n"), F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0).alias("hit")).unionByName(t.select("run_id", F.col("guess").alias("label"), F.lit(0).alias("gold_n"), F.col("n").alias("test_n"), F.lit(0).alias("hit")))
@@ -187,7 +187,8 @@ def label_metrics(gold: DataFrame, runs: DataFrame) -> DataFrame:
 
 def metrics(gold: DataFrame, runs: DataFrame) -> DataFrame:
     """All nine metrics per run, in one plan for all runs."""
-    return pair_metrics(contingency(gold, runs)).join(label_metrics(gold, runs), "run_id", "left")
+    table = written(contingency(gold, runs), "contingency")
+    return pair_metrics(table).join(label_metrics(gold, runs, table), "run_id", "left")
 
 
 def profile(runs: DataFrame) -> DataFrame:

@@ -168,12 +168,13 @@ def signatures(df: DataFrame, text: Column) -> DataFrame:
 def runs_of(sig: Column) -> Column:
     """[(block, run of 7 letters)] of both halves of a signature; without any, the squeezed halves, as equal ones score 100."""
     part = F.split(sig, ":")
-    squeezed = lambda s: F.regexp_replace(s, r"(.)\1{3,}", "$1$1$1")
-    runs = lambda s, b: F.when(F.length(s) >= WINDOW, F.transform(F.sequence(F.lit(1), F.length(s) - (WINDOW - 1)), lambda i: F.struct(b.alias("block"), F.substr(s, i, F.lit(WINDOW)).alias("run")))).otherwise(F.array().cast("array<struct<block:bigint,run:string>>"))
-    block = part[0].cast("bigint")
-    one, two = squeezed(part[1]), squeezed(part[2])
-    short = F.when((F.length(one) < WINDOW) & (F.length(two) < WINDOW), F.array(F.struct(block.alias("block"), F.concat_ws(":", one, two).alias("run")))).otherwise(F.array().cast("array<struct<block:bigint,run:string>>"))
-    return F.array_distinct(F.concat(runs(one, block), runs(two, block * 2), short))
+    none = F.array().cast("array<struct<block:bigint,run:string>>")
+    half = lambda k: F.struct((part[0].cast("bigint") * k).alias("block"), F.regexp_replace(part[k], r"(.)\1{3,}", "$1$1$1").alias("s"))
+    cut = lambda p: F.transform(F.sequence(F.lit(1), F.length(p.s) - (WINDOW - 1)), lambda i: F.struct(p.block.alias("block"), F.substr(p.s, i, F.lit(WINDOW)).alias("run")))
+    # halves are elements of an array, so that each is squeezed once and not for every run
+    runs = lambda both: F.flatten(F.transform(both, lambda p: F.when(F.length(p.s) >= WINDOW, cut(p)).otherwise(none)))
+    short = lambda both: F.when(F.forall(both, lambda p: F.length(p.s) < WINDOW), F.array(F.struct(both[0].block.alias("block"), F.concat_ws(":", both[0].s, both[1].s).alias("run")))).otherwise(none)
+    return F.transform(F.array(F.array(half(1), half(2))), lambda both: F.array_distinct(F.concat(runs(both), short(both))))[0]
 
 
 def scored_classes(classes: DataFrame) -> DataFrame:
@@ -206,22 +207,33 @@ def best_match_forest(best: DataFrame) -> DataFrame:
     return links.withColumnRenamed("up", "root")
 
 
-def piecewise_clusters(df: DataFrame, text: Column, threshold: int = 80) -> DataFrame:
-    """(mail_id, cluster_id): trees of best matches above the threshold; the order is that of mail_id, which also breaks ties.
+def piecewise_runs(df: DataFrame, text: Column, thresholds: list[int]) -> DataFrame:
+    """(mail_id, threshold, cluster_id): trees of best matches above each threshold; the order is that of mail_id, which also breaks ties.
 
-    A cluster is named by its root's mail. Empty texts have equal signatures and so are one class.
+    A cluster is named by its root's mail. Empty texts have equal signatures and so are one class. Mails are
+    signed and pairs scored once for all thresholds, whose forests grow together.
     """
     signed = written(signatures(df, text), "signatures")
     ordered = written(numbered(signed.withColumn("_all", F.lit(0)), ["_all"], ["mail_id"], "ord", ordered=True).drop("_all"), "ordered")
     classes = written(ordered.groupBy("signature").agg(F.min("ord").alias("id"), F.count("*").alias("n")), "classes")
-    pairs = scored_classes(classes).filter(F.col("score") > threshold)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "score"))
-    best = both.groupBy("id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("m")).select("id", F.col("m.score").alias("score"), (-F.col("m.o")).alias("other"))
+    levels = F.array(*[F.lit(t) for t in sorted(set(thresholds))])
+    every = F.explode(levels)
+    pairs = written(scored_classes(classes).filter(F.col("score") > min(thresholds)), "pairs").withColumn("threshold", every).filter(F.col("score") > F.col("threshold"))
+    both = pairs.select("threshold", F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(pairs.select("threshold", F.col("b").alias("id"), F.col("a").alias("other"), "score"))
+    best = both.groupBy("threshold", "id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("m")).select("threshold", "id", F.col("m.score").alias("score"), (-F.col("m.o")).alias("other"))
     twin = ordered.join(classes.select("signature", "id"), "signature")
     next_twin = twin.filter(F.col("ord") != F.col("id")).groupBy("signature").agg(F.min("ord").alias("second"))
-    rows = twin.join(next_twin, "signature", "left").join(best, "id", "left")
+    rows = twin.join(next_twin, "signature", "left").withColumn("threshold", every).join(best, ["threshold", "id"], "left")
     own = F.when(F.col("ord") != F.col("id"), F.col("id")).otherwise(F.col("second"))  # the first mail of equal signature
-    pick = F.when(own.isNotNull() & (F.lit(100) > threshold), F.when((F.col("score") == 100) & (F.col("other") < own), F.col("other")).otherwise(own)).otherwise(F.col("other"))
-    forest = best_match_forest(rows.select("ord", pick.alias("best_ord")))
+    pick = F.when(own.isNotNull() & (F.lit(100) > F.col("threshold")), F.when((F.col("score") == 100) & (F.col("other") < own), F.col("other")).otherwise(own)).otherwise(F.col("other"))
+    # a node is a mail at a threshold: numbers of different thresholds don't meet
+    node = lambda c: (F.array_position(levels, F.col("threshold")) - 1) * F.lit(1 << 48) + c
+    forest = best_match_forest(rows.select(node(F.col("ord")).alias("ord"), node(pick).alias("best_ord")))
+    trees = forest.select(levels[F.shiftright("ord", 48).cast("int")].alias("threshold"), *[(F.col(c) - F.shiftleft(F.shiftright(c, 48), 48)).alias(c) for c in ("ord", "root")])
     names = ordered.select(F.col("ord").alias("root"), F.col("mail_id").alias("cluster_id"))
-    return ordered.join(forest, "ord").join(names, "root").select("mail_id", "cluster_id")
+    return ordered.join(trees, "ord").join(names, "root").select("mail_id", "threshold", "cluster_id")
+
+
+def piecewise_clusters(df: DataFrame, text: Column, threshold: int = 80) -> DataFrame:
+    """(mail_id, cluster_id) at one threshold."""
+    return piecewise_runs(df, text, [threshold]).select("mail_id", "cluster_id")

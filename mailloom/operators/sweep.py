@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailloom.operators import grouping
 from mailloom.operators.compare import metrics
 from mailloom.operators.features import CATEGORICAL, FEATURES
-from mailloom.operators.piecewise import joined_features, piecewise_clusters
+from mailloom.operators.piecewise import joined_features, piecewise_clusters, piecewise_runs
 from mailloom.plans.storage import written
 
 
@@ -41,9 +41,15 @@ SWEEP = {
 
 
 def clusterings(features: DataFrame, jobs: dict[str, tuple]) -> DataFrame:
-    """(run_id, cluster_id, member) of jobs {run_id: (algorithm, parameters...)}."""
-    runs = [ALGORITHMS[job[0]](features, *job[1:]).select(F.lit(name).alias("run_id"), "cluster_id", F.col("mail_id").alias("member")) for name, job in jobs.items()]
-    return reduce(DataFrame.unionByName, runs)
+    """(run_id, cluster_id, member) of jobs {run_id: (algorithm, parameters...)}.
+
+    The features are written first, so that jobs read their columns only; piecewise jobs share their scores.
+    """
+    features = written(features, "features")
+    at = {name: job[1] if len(job) > 1 else 80 for name, job in jobs.items() if job[0] == "ctph"}
+    trees = written(piecewise_runs(features, joined_features(FEATURES), list(at.values())), "trees") if at else None
+    found = {name: _named(trees.filter(F.col("threshold") == at[name])) if name in at else ALGORITHMS[job[0]](features, *job[1:]) for name, job in jobs.items()}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("run_id"), "cluster_id", F.col("mail_id").alias("member")) for name, df in found.items()])
 
 
 def sweep(features: DataFrame, gold: DataFrame, jobs: dict[str, tuple]) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from mailloom.operators import compare, grouping, piecewise
 from mailloom.operators.components import connected_components
-from mailloom.operators.sweep import sweep
+from mailloom.operators.features import FEATURES
+from mailloom.operators.sweep import clusterings, sweep
 from mailloom.plans.rank import numbered
 
 ATTRS = ["a", "b", "c"]
@@ -429,3 +430,20 @@ def test_sweep(spark):
     gold = spark.createDataFrame([("g0", "m000"), ("g0", "m001"), ("g1", "m002")], "gold_id string, member string")
     got = {r.run_id: r.ari for r in sweep(df, gold, {"tree": ("cctree", 50.0), "prefix": ("fptree",), "one": ("all_in_one",), "single": ("clope_observed", 5.0)}).collect()}
     assert got == {"tree": 1.0, "prefix": 1.0, "one": 0.0, "single": 0.0}
+
+
+def test_sweep_scores_pairs_once(spark, monkeypatch):
+    r = random.Random(6)
+    words = [f"word{k}" for k in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(80)) for _ in range(6)]
+    rows = [(f"m{i:03}", *[""] * 11, " ".join(w if r.random() > i / 400 else r.choice(words) for w in r.choice(texts).split())) for i in range(40)] + [("m900", *[""] * 12), ("m901", *[""] * 12)]
+    df = spark.createDataFrame(rows, "mail_id string, " + ", ".join(f"{x} string" for x in FEATURES))
+    alone = {t: sets(piecewise.piecewise_clusters(df, piecewise.joined_features(FEATURES), t)) for t in (90, 40.5, 0, 100)}
+    assert len({frozenset(x) for x in alone.values()}) > 2
+    calls = []
+    one = piecewise.scored_classes
+    monkeypatch.setattr(piecewise, "scored_classes", lambda classes: calls.append(1) or one(classes))
+    runs = clusterings(df, {"a": ("ctph", 90), "b": ("ctph", 40.5), "c": ("ctph", 0), "d": ("ctph", 100), "e": ("ctph", 90), "one": ("all_in_one",)})
+    for name, t in (("a", 90), ("b", 40.5), ("c", 0), ("d", 100), ("e", 90)):
+        assert sets(runs.filter(F.col("run_id") == name).select(F.col("member").alias("mail_id"), "cluster_id")) == alone[t]
+    assert len(calls) == 1
