@@ -11,7 +11,7 @@ from mailloom.operators import grouping
 from mailloom.operators.compare import metrics
 from mailloom.operators.features import CATEGORICAL, FEATURES
 from mailloom.operators.piecewise import joined_features, piecewise_clusters, piecewise_runs
-from mailloom.plans.storage import written
+from mailloom.plans.storage import drop, written
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -43,9 +43,8 @@ SWEEP = {
 def clusterings(features: DataFrame, jobs: dict[str, tuple]) -> DataFrame:
     """(run_id, cluster_id, member) of jobs {run_id: (algorithm, parameters...)}.
 
-    The features are written first, so that jobs read their columns only; piecewise jobs share their scores.
+    Piecewise jobs share their scores.
     """
-    features = written(features, "features")
     at = {name: job[1] if len(job) > 1 else 80 for name, job in jobs.items() if job[0] == "ctph"}
     trees = written(piecewise_runs(features, joined_features(FEATURES), list(at.values())), "trees") if at else None
     found = {name: _named(trees.filter(F.col("threshold") == at[name])) if name in at else ALGORITHMS[job[0]](features, *job[1:]) for name, job in jobs.items()}
@@ -53,5 +52,11 @@ def clusterings(features: DataFrame, jobs: dict[str, tuple]) -> DataFrame:
 
 
 def sweep(features: DataFrame, gold: DataFrame, jobs: dict[str, tuple]) -> DataFrame:
-    """Nine metrics per job against gold(member, gold_id); the clusterings are written once."""
-    return metrics(gold, written(clusterings(features, jobs), "runs"))
+    """Nine metrics per job against gold(member, gold_id); the clusterings are written once.
+
+    The features are written first and kept until then, so that jobs read their columns only.
+    """
+    features = written(features, "features")
+    runs = written(clusterings(features, jobs), "runs")
+    drop(features)
+    return metrics(gold, runs)
